@@ -21,6 +21,7 @@ Losses: a link at J is missed only if the two texts share none of 40 keys (1.5 %
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ SMALL = 32
 GROUP_BLOCK = 1024
 #: Ids of texts to verify that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8")])
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("s0", "<u8")])
 _TEXT = np.dtype([("node", "<i8"), ("s0", "<i8"), ("s1", "<i8")])
 _ID = np.dtype([("id", "<i8"), ("node", "<i8")])
 PAIR, BIG, TEXT, ID = 0, 1, 2, 3
@@ -67,10 +68,10 @@ def _records(shards: int, least_chars: int):
                 record = np.empty(k.size, _KEY)
                 flat = k.ravel()
                 record["low"], record["high"] = flat & np.uint64(0xFFFFFFFF), (flat >> np.uint64(32)) & np.uint64(0xFF)
-                record["node"] = np.repeat(own, k.shape[1])
+                s = sketch(words)
+                record["node"], record["s0"] = np.repeat(own, k.shape[1]), np.repeat(s[:, 0].view(np.uint64), k.shape[1])
                 text = np.empty(len(own), _TEXT)
                 text["node"] = own
-                s = sketch(words)
                 text["s0"], text["s1"] = s[:, 0], s[:, 1]
                 ident = np.empty(len(ids), _ID)
                 ident["id"], ident["node"] = ids, nodes
@@ -84,29 +85,31 @@ def _records(shards: int, least_chars: int):
     return run
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All buckets of one shard -> (a, b) pairs of the small ones, (bucket, node) members of the large ones."""
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All buckets of one shard -> (a, b) pairs of the small ones, (bucket, node) members of the large ones.
+
+    Pairs whose 64-bit sketches differ in more than ``most`` bits end here, so chance meetings are never shuffled.
+    """
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, node, bits = key[order], node[order], bits[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
-    key, node = key[fresh], node[fresh]
+    key, node, bits = key[fresh], node[fresh], bits[fresh]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
-        rows = node[starts[sizes == size][:, None] + np.arange(size)]
+        rows = starts[sizes == size][:, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
-        left.append(rows[:, i].ravel())
-        right.append(rows[:, j].ravel())
-    a, b = np.concatenate(left), np.concatenate(right)
-    if len(a):
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) < 5_000_000 else np.stack([a, b], 1)
-        a, b = both[:, 0], both[:, 1]
+        i, j = rows[:, i].ravel(), rows[:, j].ravel()
+        near = np.bitwise_count(bits[i] ^ bits[j]) <= most
+        left.append(node[i[near]])
+        right.append(node[j[near]])
+    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
     large = np.repeat(sizes > small, sizes)
-    return a, b, key[large], node[large]
+    return both[:, 0], both[:, 1], key[large], node[large]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[bytes]] = {PAIR: [], TEXT: [], ID: []}
     for batch in batches:
         for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -124,7 +127,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(TEXT, texts["node"], texts["s0"], texts["s1"])
     record = np.frombuffer(b"".join(held.pop(PAIR)), _KEY)
     key = record["low"].astype(np.int64) | (record["high"].astype(np.int64) << 32)
-    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64))
+    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), record["s0"].astype(np.uint64), most)
     del record, key
     yield from out(PAIR, a, b)
     yield from out(BIG, bucket, node)
@@ -221,7 +224,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     spark = df.sparkSession
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(_buckets, "a long, b long, c long, kind byte")
+    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(64, threshold)), "a long, b long, c long, kind byte")
     path = new_path(spark, "near")
     flat.write.partitionBy("kind").parquet(path)
     raw = spark.read.schema("a long, b long, c long, kind int").parquet(path)
