@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,5 +27,44 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .group_splits import mixed_groups
+
+    return mixed_groups(_table(spark, folder, "phone_variant")).withColumnRenamed("id", "variant_id")
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    from .group_splits import group_splits
+
+    return group_splits(_table(spark, folder, "phone_variant"), _table(spark, folder, "split_quota")).withColumnRenamed("id", "variant_id")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from .tokens import encode_table
+
+    return encode_table(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import fill_containers
+    from .tokens import token_counts
+
+    documents = _table(spark, folder, "documents")
+    specs: dict[str, list[tuple[str, int]]] = {}
+    for r in _table(spark, folder, "container_spec").collect():  # fixed, a row for each container size
+        specs.setdefault(r["tokenizer"], []).append((r["spec_name"], r["capacity_tokens"]))
+    parts = []
+    for tokenizer, own in sorted(specs.items()):
+        sizes = cut(token_counts(documents, "doc_id", "text", tokenizer), "sizes")
+        parts.append(fill_containers(sizes, own).withColumnRenamed("id", "doc_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .sentences import split_sentences
+
+    return split_sentences(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p5_found, p6_ids, p7_containers, p8_found)}
 SQL: dict[str, str] = {}
