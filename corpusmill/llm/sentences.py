@@ -55,15 +55,15 @@ THAI_WORDS = ["ใคร", "คุณ", "ชุด", "ข้อมูล", "ใ
 _OPEN, _CLOSE = "«“‘„([{「『（【〈《‹", "»”’“)]}」』）】〉》›"
 _PAIR = {"«": "»", "“": "”", "„": "“”", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "‹": "›"}
 _EMOJI = r"[\U0001F000-\U0001FAFF☀-➿⬀-⯿⌀-⏿️‍⃣]"
-_TERMINAL = r"(?:[.!?…]+|[。！？｡]+|[։]|[।॥]+|[؟۔]+|[;;])"
-_END = re.compile(rf"(?P<mark>[.!?…。！？｡։।॥؟۔;;]+)(?P<close>[\"»”’“'\)\]\}}」』）】〉》›*_]*)(?P<emoji>(?:[ \t ]*{_EMOJI}+)*)")
+_END = re.compile(r"[.!?…。！？｡։।॥؟۔;;]+")
+_EMOJI_TAIL = re.compile(rf"(?:[ \t\u00a0]*{_EMOJI}+)*")
 _ONLY_EMOJI = re.compile(rf"(?:{_EMOJI}+[ \t ]*)+")
-_MARKER = re.compile(r"[ \t ]*(?:[-*•‣◦·–—▪]|\d{1,3}[.)]|[a-zа-я][)]|\(\d{1,3}\)|[①-⑳])[ \t ]+\S")
-_SPEAKER = re.compile(r"[ \t ]*(?:\[[^\[\]\n]{1,30}\]|[^\W\d_][^\s:：.,!?«\"(]{0,24}(?:[ \t][^\W\d_][^\s:：.,!?«\"(]{0,20}){0,1}\.?[:：]|[^\W\d_]\.?[:：])(?=\s|[^\x00-˿/\d])")
+_MARKER = re.compile(r"[ \t ]*(?:[-*•‣◦·▪]|\d{1,3}[.)]|[a-zа-я][)]|\(\d{1,3}\)|[①-⑳])[ \t ]+\S")
+_SPEAKER = re.compile(r"[ \t ]*(?:\[[^\[\]\n]{1,30}\]|[^\W\d_][^\s:：.,!?«\"(]{0,24}(?:[ \t][^\W\d_][^\s:：.,!?«\"(]{0,20}){0,1}\.?[:：]|[^\W\d_]\.?[:：]|[–—])(?=\s|[^\x00-˿/\d])")
 _HARD_END = re.compile(rf"[.!?…。！？｡։।॥؟۔;;][\"»”’“'\)\]\}}」』）】〉》›*_]*(?:\s*{_EMOJI}+)*\s*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _THAI = re.compile(r"[฀-๿]")
-_WORD_BEFORE = re.compile(r"(?:[^\W\d_]+[-'’.])*[^\W_]*[^\W\d_][̀-ͯऀ-ॿ]*$")
+_WORD_BEFORE = re.compile(r"(?:[^\W\d_]+[-'’.]+)*[^\W_]*[^\W\d_][̀-ͯऀ-ॿ]*$")
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 
 
@@ -122,7 +122,10 @@ def _units(text: str) -> list[tuple[int, int, bool]]:
     filled = [i for i, s in enumerate(body) if s.strip()]
     if not filled:
         return []
-    width = max(len(s.rstrip()) for s in body)
+    lengths = sorted((len(s.rstrip()) for s in body), reverse=True)
+    # the common width: the greatest length that enough other lines come near, as a changed line may stick out
+    enough = max(1, len(filled) * 15 // 100)
+    width = next((a for a, c in zip(lengths, lengths[enough:]) if a - c <= 6), lengths[0])
     marker = {i for i in filled if _MARKER.match(body[i])}
     speaker = {i for i in filled if i not in marker and _SPEAKER.match(body[i])}
     if len(speaker) == 1 and len(filled) > 2 and not body[next(iter(speaker))].lstrip().startswith("["):
@@ -133,11 +136,12 @@ def _units(text: str) -> list[tuple[int, int, bool]]:
     hits = [i for i in soft if _forced(body[i], body[i + 1], width)]
     every = [i for i in filled if i + 1 < len(body) and body[i + 1].strip() and i + 1 not in marker and i + 1 not in speaker]
     filling = [i for i in every if _forced(body[i], body[i + 1], width)]
-    wrapped = width <= 140 and bool(hits) and len(filling) >= 0.7 * len(every) and (len(filled) > 1)
+    wrapped = 30 <= width <= 140 and bool(hits) and len(filling) >= 0.7 * len(every) and bool(_END.search(text))
+    punctuated = bool(_END.search(text))
     out: list[tuple[int, int, bool]] = []
     start = None
     item = False
-    for n, i in enumerate(filled):
+    for i in filled:
         a, b = lines[i]
         if start is None:
             start, item = a, i in marker
@@ -145,7 +149,9 @@ def _units(text: str) -> list[tuple[int, int, bool]]:
         go_on = False
         if following is not None and following not in marker and following not in speaker:
             if wrapped and _forced(body[i], body[following], width):
-                go_on = not (_HARD_END.search(body[i]) and not item and False)
+                go_on = True
+            elif punctuated and i not in marker and body[following].lstrip()[:1].islower() and not _HARD_END.search(body[i]):
+                go_on = bool(_END.search(body[i]) or _END.search(body[following]) or not body[i].lstrip()[:1].islower())
             elif item and not _HARD_END.search(body[i]) and body[following][:1] in " \t" and i in marker and following not in marker:
                 go_on = True
         if not go_on:
@@ -154,8 +160,8 @@ def _units(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _openers(text: str, a: int, b: int) -> list[int]:
-    """For every position of text[a:b] the start of the outermost quote or bracket around it, or -1; unclosed ones don't count."""
+def _openers(text: str, a: int, b: int) -> tuple[list[int], set[int]]:
+    """For every position of text[a:b] the start of the outermost quote or bracket around it, or -1; where pairs close. Unclosed ones don't count."""
     state = [-1] * (b - a)
     stack: list[tuple[str, int]] = []
     spans: list[tuple[int, int]] = []
@@ -188,13 +194,21 @@ def _openers(text: str, a: int, b: int) -> list[int]:
         for i in range(s, e + 1):
             if state[i - a] < 0:
                 state[i - a] = s
-    return state
+    return state, {e for _, e in spans}
+
+
+def _tail(text: str, at: int, b: int, closing: set[int]) -> tuple[int, int]:
+    """Ends of the closing quotes and brackets, and of the emoji, that follow a terminator."""
+    while at < b and (at in closing or text[at] in ")]}»”」』）】〉》›*_"):
+        at += 1
+    return at, _EMOJI_TAIL.match(text, at, b).end()
 
 
-def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], begin: int) -> int:
+def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], closing: set[int], begin: int) -> int:
     """End of the sentence that the terminator ``m`` closes, or -1."""
-    mark, close = m["mark"], m["close"]
-    end, after = m.end(), text[m.end() : b]
+    mark = m.group(0)
+    closed_at, end = _tail(text, m.end(), b, closing)
+    close, emoji, after = closed_at > m.end(), end > closed_at, text[end:b]
     at = m.start()
     rest = after.lstrip()
     gap = len(after) - len(rest)
@@ -208,9 +222,7 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
         if not greek:
             return -1
     if opener >= 0:
-        closed = opener
-        k = m.end("close") - 1
-        if not close or inside[k - a] < 0 or (m.end("close") < b and inside[m.end("close") - a] == closed):
+        if not close or (closed_at < b and inside[closed_at - a] == opener):
             return -1
         lead = text[begin:opener].strip()
         if text[opener] in "([（【{":
@@ -230,15 +242,15 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
     if mark[0] in "!?؟" or (mark[-1] in "!?؟" and mark[0] != "."):
         if nxt in ",;—–-" or word.islower():
             return -1
-        return end if gap or m["emoji"] or word.isupper() or nxt in "¿¡«„\"“「" or not word.isascii() else -1
+        return end if gap or emoji or word.isupper() or nxt in "¿¡«„\"“「" or not word.isascii() else -1
     if set(mark) <= {"…"} or (len(mark) > 1 and set(mark) <= {".", "…"}):
         if _CJK.match(nxt) and not gap:
             return -1
-        if word.islower() or nxt in ",;:)—–-" or not (gap or m["emoji"] or word.isupper()):
+        if word.islower() or nxt in ",;:)—–-" or not (gap or emoji or word.isupper()):
             return -1
         return end
     if mark[0] in ";;":
-        return end if gap or m["emoji"] else -1
+        return end if gap or emoji else -1
     if mark != "." and mark[-1] in "!?":
         return -1 if word.islower() else end
     # a single full stop
@@ -250,7 +262,7 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
         return -1
     w = _WORD_BEFORE.search(before)
     token = w.group(0) if w else ""
-    if not gap and not m["emoji"]:
+    if not gap and not emoji:
         if close and previous:
             return end if word.isupper() or nxt in "«„“¿¡" else -1
         if not (word.isupper() or _CJK.match(nxt) or nxt in "«„“¿¡" or (word.isalpha() and not word.isascii() and not word.islower())):
@@ -262,13 +274,15 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
         if "." in token and token[-1:].isupper():
             return -1
         return end if (previous.islower() or previous.isdigit() or previous in ")»”\"%" or (len(token) > 1 and not token.isascii())) else -1
-    if m["emoji"]:
+    if emoji:
         return end
     low = token.lower().strip("-'’")
     spaced = re.search(r"([^\W\d_]{1,2})\.\s?([^\W\d_]{1,2})$", before)
     pair = f"{spaced[1]}.{spaced[2]}".lower() if spaced else ""
     if word.islower():
         return -1
+    if re.search(r"\d\s*$", before[: len(before) - len(token)]) and token in _UNITS:
+        return end
     if pair in NEVER_END or low in NEVER_END:
         return -1
     if pair in END_ABBREVIATIONS or low in END_ABBREVIATIONS:
@@ -278,6 +292,8 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
             return -1
         if low in ("с", "в", "ч", "h", "s", "р") and not re.search(r"\d\s*\w$", before):
             return -1 if len(token) == 1 and token.isupper() else (-1 if low in ("в", "с", "ч") else end)
+        if low == "co" and re.match(r"(?:KG|OHG|KGaA)\b", rest):
+            return -1
         if word.isdigit():
             return -1 if low not in ("etc", "usw", "т.д", "т.п", "др") and pair not in ("т.д", "т.п") else end
         return end
@@ -287,6 +303,8 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
         return end if word.isupper() and rest.split(None, 1)[0] in _ENGLISH_OPENERS else -1
     if low in OPEN_ABBREVIATIONS:
         return -1
+    if len(token) == 2 and token.isupper() and token[0] == token[1] and re.match(r"([^\W\d_])\1\.", rest):
+        return -1
     if re.search(r"(?:^|\s)\d{1,2}$", before) and nxt.isalpha():
         following = re.match(r"[^\W\d_]+", rest)
         if following and following.group(0) in _GERMAN_ORDINAL_NOUNS:
@@ -297,6 +315,8 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], be
 
 
 _ENGLISH_OPENERS = set("The A An It He She They We You I In On At This That These Those Is Are Was Were Did Do Does Please Who What When Where Why How Well Okay No Yes Names Agent Version Approx See Rejected Mr. Ms. Dr. Mrs.".split())
+#: Units that end a sentence when they follow a number and a capital follows them.
+_UNITS = set("sec sek min ms s h с сек мин ч г гг руб коп тыс млн млрд шт кг км м см т грн хв р год seg km kg cm mm m g l t".split())
 #: Nouns that a German ordinal stands before.
 _GERMAN_ORDINAL_NOUNS = set("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Charge Stapel Block Lauf Satz Abschnitt Tag Woche Monat Jahr Mal Version Regel".split())
 
@@ -328,7 +348,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if whole:
             spans.append((a, b))
             continue
-        inside = _openers(text, a, b)
+        inside, closing = _openers(text, a, b)
         label = _SPEAKER.match(text, a, b)
         begin = a
         thai = bool(_THAI.search(text, a, b))
@@ -338,7 +358,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         for m in _END.finditer(text, at, b):
             start = max([begin, *(c for c in ends if c <= m.start())]) if ends else begin
             lead = label.end() if label and start == a else start
-            e = _boundary(text, a, b, m, inside, lead)
+            e = _boundary(text, a, b, m, inside, closing, lead)
             if 0 < e < b:
                 ends.append(e)
                 ends.sort()
