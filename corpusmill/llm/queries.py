@@ -27,6 +27,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _truncation(spark: SparkSession, folder: str) -> DataFrame:
+    from .truncation import truncation
+
+    parts = []
+    for table, key, text in (("accepted_mapping", "mapping_id", "llm_text"), ("api_response", "response_id", "raw_text")):
+        parts.append(_table(spark, folder, table).select(F.lit(table).alias("table_name"), F.col(key).alias("id"), "source", F.col(text).alias("text")))
+    return truncation(parts[0].unionByName(parts[1]))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncation(spark, folder).where("truncated").select("table_name", F.col("id").alias("record_id"))
+
+
+def p1_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    from .truncation import truncation_by_source
+
+    return truncation_by_source(_truncation(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from .group_splits import mixed_groups
 
@@ -66,5 +85,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p5_found, p6_ids, p7_containers, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_splits, p5_found, p6_ids, p7_containers, p8_found)}
 SQL: dict[str, str] = {}
