@@ -37,10 +37,9 @@ SMALL = 32
 GROUP_BLOCK = 1024
 #: Ids of texts to verify that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("s0", "<u8")])
-_TEXT = np.dtype([("node", "<i8"), ("s0", "<i8"), ("s1", "<i8")])
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 _ID = np.dtype([("id", "<i8"), ("node", "<i8")])
-PAIR, BIG, TEXT, ID = 0, 1, 2, 3
+PAIR, BIG, ID = 0, 1, 2
 
 
 def _split(records: np.ndarray, shard: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -69,15 +68,12 @@ def _records(shards: int, least_chars: int):
                 flat = k.ravel()
                 record["low"], record["high"] = flat & np.uint64(0xFFFFFFFF), (flat >> np.uint64(32)) & np.uint64(0xFF)
                 s = sketch(words)
-                record["node"], record["s0"] = np.repeat(own, k.shape[1]), np.repeat(s[:, 0].view(np.uint64), k.shape[1])
-                text = np.empty(len(own), _TEXT)
-                text["node"] = own
-                text["s0"], text["s1"] = s[:, 0], s[:, 1]
+                record["node"] = np.repeat(own, k.shape[1])
+                record["s0"], record["s1"] = (np.repeat(s[:, i].view(np.uint64), k.shape[1]) for i in (0, 1))
                 ident = np.empty(len(ids), _ID)
                 ident["id"], ident["node"] = ids, nodes
                 out = [
                     *_split(record, ((flat >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), PAIR),
-                    *_split(text, own % shards, TEXT),
                     *_split(ident, np.abs(ids) % shards, ID),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2] for o in out], pa.binary())], names=["shard", "kind", "payload"])
@@ -85,15 +81,15 @@ def _records(shards: int, least_chars: int):
     return run
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All buckets of one shard -> (a, b) pairs of the small ones, (bucket, node) members of the large ones.
 
-    Pairs whose 64-bit sketches differ in more than ``most`` bits end here, so chance meetings are never shuffled.
+    Pairs whose sketches differ in more than ``most`` bits end here, so chance meetings are never shuffled.
     """
     order = np.lexsort((node, key))
-    key, node, bits = key[order], node[order], bits[order]
+    key, node, bits = key[order], node[order], [x[order] for x in bits]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
-    key, node, bits = key[fresh], node[fresh], bits[fresh]
+    key, node, bits = key[fresh], node[fresh], [x[fresh] for x in bits]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -101,7 +97,7 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int,
         rows = starts[sizes == size][:, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
         i, j = rows[:, i].ravel(), rows[:, j].ravel()
-        near = np.bitwise_count(bits[i] ^ bits[j]) <= most
+        near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in bits) <= most
         left.append(node[i[near]])
         right.append(node[j[near]])
     both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
@@ -110,24 +106,21 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: np.ndarray, most: int,
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {PAIR: [], TEXT: [], ID: []}
+    held: dict[int, list[bytes]] = {PAIR: [], ID: []}
     for batch in batches:
         for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             held[kind].append(payload)
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(a), 100_000):
             cols = [np.ascontiguousarray(x[at : at + 100_000]) for x in (a, b)]
-            third = pa.nulls(len(cols[0]), pa.int64()) if c is None else pa.array(np.ascontiguousarray(c[at : at + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), third, pa.array(np.full(len(cols[0]), kind, np.int8))], names=["a", "b", "c", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), kind, np.int8))], names=["a", "b", "kind"])
 
     ids = np.frombuffer(b"".join(held.pop(ID)), _ID)
     yield from out(ID, ids["id"], ids["node"])
-    texts = np.unique(np.frombuffer(b"".join(held.pop(TEXT)), _TEXT))
-    yield from out(TEXT, texts["node"], texts["s0"], texts["s1"])
     record = np.frombuffer(b"".join(held.pop(PAIR)), _KEY)
     key = record["low"].astype(np.int64) | (record["high"].astype(np.int64) << 32)
-    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), record["s0"].astype(np.uint64), most)
+    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), [record["s0"].astype(np.uint64), record["s1"].astype(np.uint64)], most)
     del record, key
     yield from out(PAIR, a, b)
     yield from out(BIG, bucket, node)
@@ -224,23 +217,16 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     spark = df.sparkSession
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(64, threshold)), "a long, b long, c long, kind byte")
+    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(128, threshold)), "a long, b long, kind byte")
     path = new_path(spark, "near")
     flat.write.partitionBy("kind").parquet(path)
-    raw = spark.read.schema("a long, b long, c long, kind int").parquet(path)
+    raw = spark.read.schema("a long, b long, kind int").parquet(path)
     ids = raw.where(F.col("kind") == ID).select(F.col("a").alias("id"), F.col("b").alias("node"))
-    sketches = raw.where(F.col("kind") == TEXT).select(F.col("a").alias("node"), F.col("b").alias("s0"), F.col("c").alias("s1")).dropDuplicates(["node"])
     first = ids.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     big = raw.where(F.col("kind") == BIG).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct()
     stars = big.join(big.groupBy("bucket").agg(F.min("node").alias("top")), "bucket").where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
     pairs = raw.where(F.col("kind") == PAIR).select("a", "b").union(stars).distinct()
 
-    def close(p: DataFrame) -> DataFrame:
-        s = sketches.alias("s")
-        left = p.join(s, p.a == F.col("s.node")).select("a", "b", F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-        apart = F.bit_count(F.col("p0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("s1")))
-        return left.join(s, left.b == F.col("s.node")).where(apart <= most_differing(128, threshold)).select("a", "b")
-
     def link(p: DataFrame) -> DataFrame:
         p = cut(p, "candidates")
         nodes = p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
@@ -249,7 +235,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
         texts = source.join(by_id, "id").select("node", "text").mapInArrow(_normalize(least_chars), "node long, text string")
         return cut(verified_links(p, texts, threshold), "links")
 
-    links = link(close(pairs))
+    links = link(pairs)
     labels = cut(components(links), "labels")
     if not big.isEmpty():
         tag = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -257,7 +243,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
         apart = tag.join(top, "bucket").where("label <> main").select("bucket", F.col("node").alias("a"))
         salted = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         rest = salted.join(big.select("bucket", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.lit(16)).cast("int").alias("salt")), ["bucket", "salt"])
-        more = close(rest.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = rest.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.union(link(more))
         labels = cut(components(links), "labels")
     known = first.join(labels, "node", "left").where("n > 1 OR label IS NOT NULL").select("node", "first", F.coalesce("label", "node").alias("label"))
