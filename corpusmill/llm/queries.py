@@ -23,6 +23,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(_table(spark, folder, "api_response"), _table(spark, folder, "prompt_request"), _table(spark, folder, "rule_config"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .batch_dedup import repeats_of_earlier_batches
+
+    return repeats_of_earlier_batches(_table(spark, folder, "accepted_mapping"), "mapping_id", "batch_no", "llm_text").withColumnRenamed("id", "mapping_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from .near_duplicates import near_duplicate_classes
 
@@ -91,5 +97,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_splits, p3_found, p5_found, p6_ids, p7_containers, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_splits, p3_found, p4_found, p5_found, p6_ids, p7_containers, p8_found)}
 SQL: dict[str, str] = {}
