@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ COMMON = 0.002
 PRIOR = 2.0
 #: Share of a source's records that pile up at its greatest length.
 PILE = 0.01
+#: Occurrences of a run from which a full stop after it may be taken for an appended one.
+SURE = 50
 _TOKEN = re.compile(r"(?:[A-Za-z]{1,3}-)?\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|\.{2,}|[^\w\s]|\n")
 _FENCE = re.compile(r"```[a-zA-Z]*")
 _FULL = set(".!?。！？｡।։؟;")
@@ -105,21 +108,44 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([inner[w] for w in seen], pa.int64())], names=["word", "n", "inner"])
 
 
+#: Distinct masked tokens that one block of texts may hold; four of their numbers make a key of 60 bits.
+_MOST = 1 << 15
+
+
+def _block_runs(ids: list[int], hows: list[str], names: list[str]) -> pa.RecordBatch:
+    """Runs of one to four tokens of a block: occurrences, ends and trailing ends, counted by sorted integer keys."""
+    token, how = np.array(ids, np.int64), np.array(hows)
+    end = how != "I"
+    begin = np.r_[True, end[:-1]]
+    place = np.arange(len(token)) - np.maximum.accumulate(np.where(begin, np.arange(len(token)), 0))
+    key, cols = token.copy(), ([], [], [], [])
+    for k in range(1, 5):
+        if k > 1:
+            before = np.where(place >= k - 1, np.r_[np.zeros(k - 1, np.int64), token[: len(token) - k + 1]][: len(token)], 0)
+            key = key + (before << (15 * (k - 1)))
+        found, at = np.unique(key, return_inverse=True)
+        digits = [(found >> (15 * j)) & (_MOST - 1) for j in range(k - 1, -1, -1)]
+        cols[0].extend(" ".join(names[i] for i in row) for row in zip(*(d.tolist() for d in digits)))
+        for c, weight in zip(cols[1:], (None, end, how == "L")):
+            c.append(np.bincount(at, weight, len(found)).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(np.concatenate(c)) for c in cols[1:])], names=["run", "n", "ends", "trails"])
+
+
 def _count_runs(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
+            number, ids, hows = {"^": 0}, [], []
             for text in batch.column(0).to_pylist():
-                if text:
-                    for r, how in _runs(_walk(text), common):
-                        n = seen.setdefault(r, [0, 0, 0])
-                        n[0] += 1
-                        if how != "I":
-                            n[1] += 1
-                            if how == "L":
-                                n[2] += 1
-            cols = list(zip(*seen.values())) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["run", "n", "ends", "trails"])
+                if not text:
+                    continue
+                for token, how in _walk(text):
+                    ids.append(number.setdefault(_mask(token, common), len(number)))
+                    hows.append(how)
+                if len(number) > _MOST - 5000 and ids:
+                    yield _block_runs(ids, hows, list(number))
+                    number, ids, hows = {"^": 0}, [], []
+            if ids:
+                yield _block_runs(ids, hows, list(number))
 
     return run
 
@@ -197,7 +223,7 @@ def truncation(records: DataFrame) -> DataFrame:
     unknown = F.coalesce("unknown", F.lit(False)) & F.col("token").rlike(r"\p{L}") & (F.col("how") != "F")
     cut_word = unknown & (F.coalesce("cut_word", F.lit(False)) | F.col("at_limit"))
     low = (
-        F.when(F.col("how") == "F", ends < 0.01)
+        F.when(F.col("how") == "F", (ends < 0.01) & (F.col("n4") >= SURE))
         .when(F.col("how") == "L", trails < 0.3)
         .otherwise(ends < F.when(F.col("at_limit"), 0.8).otherwise(0.45))
     )
