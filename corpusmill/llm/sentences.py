@@ -59,7 +59,7 @@ _END = re.compile(r"[.!?…。！？｡։।॥؟۔;;]+")
 _EMOJI_TAIL = re.compile(rf"(?:[ \t\u00a0]*{_EMOJI}+)*")
 _ONLY_EMOJI = re.compile(rf"(?:{_EMOJI}+[ \t ]*)+")
 _MARKER = re.compile(r"[ \t ]*(?:[-*•‣◦·▪]|\d{1,3}[.)]|[a-zа-я][)]|\(\d{1,3}\)|[①-⑳])[ \t ]+\S")
-_SPEAKER = re.compile(r"[ \t ]*(?:\[[^\[\]\n]{1,30}\]|[^\W\d_][^\s:：.,!?«\"(]{0,24}(?:[ \t][^\W\d_][^\s:：.,!?«\"(]{0,20}){0,1}\.?[:：]|[^\W\d_]\.?[:：]|[–—])(?=\s|[^\x00-˿/\d])")
+_SPEAKER = re.compile(r"[ \t ]*(?:\[[^\[\]\n]{1,30}\]|[^\W\d_][^\s:：.,!?«\"(。！？，、…“”„「」『』（）؟।։;；]{0,24}(?:[ \t][^\W\d_][^\s:：.,!?«\"(。！？，、…“”„「」『』（）؟।։;；]{0,20}){0,1}\.?[:：]|[^\W\d_]\.?[:：]|[–—])(?=\s|[^\x00-˿/\d])")
 _HARD_END = re.compile(rf"[.!?…。！？｡։।॥؟۔;;][\"»”’“'\)\]\}}」』）】〉》›*_]*(?:\s*{_EMOJI}+)*\s*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _THAI = re.compile(r"[฀-๿]")
