@@ -114,8 +114,9 @@ def test_batches_equal_one_pass(spark, seed):
     for i, _ in texts:
         least[first.get(i, i)] = min(least.get(first.get(i, i), 99), i * 4 // len(texts))
     want = {(f, i) for i, f in classes if i * 4 // len(texts) > least[f]}
-    got = {(r["first_id"], r["id"]) for r in repeats_of_earlier_batches(df, "key", "batch", "body").collect()}
-    assert want and got == want
+    for per_delivery in (1, 5):
+        got = {(r["first_id"], r["id"]) for r in repeats_of_earlier_batches(df, "key", "batch", "body", per_delivery).collect()}
+        assert want and got == want
 
 
 def test_ingest_finds_history_and_bridges(spark):
