@@ -93,6 +93,10 @@ SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {_norm('text')} AS norm FROM documents",
     "prefix_key": f"SELECT doc_id, {_prefix(_norm('text'), 4)} AS prefix FROM documents",
     "char_ngrams_count": f"SELECT doc_id, (CASE WHEN n = '' THEN 0 WHEN length(n) <= 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(n) - 1), lambda i: substring(n, i, 3)))) END)::INTEGER AS n FROM (SELECT doc_id, {_collapse(_norm('text'))} AS n FROM documents)",
+    "jaccard_pairs": f"""WITH t AS (SELECT DISTINCT coalesce(phone_digits, '') AS bucket, {_norm('spoken')} AS norm FROM phone_variant WHERE spoken IS NOT NULL),
+g AS (SELECT bucket, norm, CASE WHEN norm = '' THEN [] WHEN length(norm) <= 3 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm) - 1), lambda i: substring(norm, i, 3))) END AS g FROM t),
+p AS (SELECT a.bucket AS bucket, a.norm AS x, b.norm AS y, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS total FROM g a JOIN g b ON a.bucket = b.bucket AND a.norm < b.norm)
+SELECT bucket, least(md5(x), md5(y)) AS text_a, greatest(md5(x), md5(y)) AS text_b, round(shared / (total - shared), 6) AS jaccard FROM p WHERE total > shared AND shared / (total - shared) >= 0.75""",
     "text_measures": f"SELECT doc_id, {_words('text')} AS words, {_count('text', '[ЁёА-Яа-я]')} AS cyrillic, {_count('text', '[A-Za-z]')} AS latin, regexp_matches(text, '\\p{{Nd}}') AS digit, {_times('text', '. ')} AS stops, {_collapse('text')} AS collapsed, {_strip('text', ['QD-', 'номер', 'Q'])} AS stripped FROM documents",
     "spoken_form": f"SELECT variant_id, {_spoken('spoken')} AS spoken FROM phone_variant",
     "dedup_exact": _dedup("rule", True, None, 0),

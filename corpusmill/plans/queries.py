@@ -141,11 +141,11 @@ def spoken_form(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Near-duplicate replies per rule at 0.88; compared with brute force on a fixture in the tests."""
-    rows = _replies(spark, folder).where("raw_text IS NOT NULL").select(F.coalesce("rule_id", F.lit("")).alias("bucket"), NZ.normalize(F.col("raw_text")).alias("norm"))
+    """Dictations of one number, as it is written, that are similar at 0.75."""
+    rows = _table(spark, folder, "phone_variant").where("spoken IS NOT NULL").select(F.coalesce("phone_digits", F.lit("")).alias("bucket"), NZ.normalize(F.col("spoken")).alias("norm"))
     texts = rows.distinct().select("bucket", "norm", F.xxhash64("norm").alias("tid"))
     names = texts.groupBy("bucket", "tid").agg(F.md5(F.first("norm")).alias("m"))
-    edges = D.similar_edges(texts, 3, 0.88)
+    edges = D.similar_edges(texts, 3, 0.75)
     left, right = names.select("bucket", F.col("tid").alias("a"), F.col("m").alias("ma")), names.select("bucket", F.col("tid").alias("b"), F.col("m").alias("mb"))
     return edges.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).select("bucket", F.least("ma", "mb").alias("text_a"), F.greatest("ma", "mb").alias("text_b"), F.round("jaccard", 6).alias("jaccard"))
 
