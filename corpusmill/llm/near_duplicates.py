@@ -83,7 +83,7 @@ def _records(shards: int, least_chars: int):
     return run
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int, small: int = SMALL, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All buckets of one shard -> (a, b) pairs of the small ones, (bucket, node) members of the large ones.
 
     Pairs whose sketches differ in more than ``most`` bits end here, so chance meetings are never shuffled.
@@ -102,7 +102,7 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most
         near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in bits) <= most
         left.append(node[i[near]])
         right.append(node[j[near]])
-    crowded = sizes > WIDE
+    crowded = sizes > max(small, wide)
     for at in np.flatnonzero((sizes > small) & ~crowded):
         a, b = starts[at], starts[at] + sizes[at]
         apart = sum(np.bitwise_count(x[a:b, None] ^ x[None, a:b]).astype(np.int16) for x in bits)
@@ -117,7 +117,7 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most
     return both[:, 0], both[:, 1], key[large], node[large]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Iterator[pa.RecordBatch], most: int, small: int, wide: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[bytes]] = {PAIR: [], ID: []}
     for batch in batches:
         for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -132,7 +132,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
     yield from out(ID, ids["id"], ids["node"])
     record = np.frombuffer(b"".join(held.pop(PAIR)), _KEY)
     key = record["low"].astype(np.int64) | (record["high"].astype(np.int64) << 32)
-    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), [record["s0"].astype(np.uint64), record["s1"].astype(np.uint64)], most)
+    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), [record["s0"].astype(np.uint64), record["s1"].astype(np.uint64)], most, small, wide)
     del record, key
     yield from out(PAIR, a, b)
     yield from out(BIG, bucket, node)
@@ -219,7 +219,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> Data
     return rows.mapInArrow(_open_groups(threshold), "a long, b long")
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, least_chars: int = 40) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, least_chars: int = 40, small: int = SMALL, wide: int = WIDE) -> DataFrame:
     """(id, first_id) of every record whose class has two or more records; first_id is the class's smallest id.
 
     ``id_col`` is a bigint, unique. Null texts and texts of fewer than ``least_chars`` characters after normalization
@@ -229,7 +229,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     spark = df.sparkSession
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(128, threshold)), "a long, b long, kind byte")
+    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(128, threshold), small=small, wide=wide), "a long, b long, kind byte")
     path = new_path(spark, "near")
     flat.write.partitionBy("kind").parquet(path)
     raw = spark.read.schema("a long, b long, kind int").parquet(path)
