@@ -6,6 +6,7 @@ state, so a run that was stopped goes on from its output folder: request numbers
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ from ..sources.config import Project, Rule
 from . import verdicts as V
 from .scratch import cut
 
+LOG = logging.getLogger(__name__)
 RECORD = (
     "rule_id string, text string, meta struct<run_name:string,source:string,model:string,accepted_at_unix:double,request_index:int,candidate_index:int,parser:string,"
     "diversity:map<string,array<string>>,callback_anchor:string,callbacks:struct<pre_extension:array<struct<path:string,function:string>>,post_validation:array<struct<path:string,function:string>>>>"
@@ -108,6 +110,7 @@ class Generator:
         state["parsed_candidates"] += items.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
         got = rows.where("stage = 'ok'").count()
         state["accepted"] += got
+        LOG.info("%s: accepted %d of %d, rejected %d, errors %d, requests %d", rule.id, state["accepted"], rule.count, sum(state["rejected"].values()), sum(state["errors"].values()), start + count)
         return got
 
     def run(self) -> dict:
