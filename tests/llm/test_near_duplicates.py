@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.normal_text import gram_set, jaccard, normal
+from corpusmill.llm import batch_dedup
 from corpusmill.llm import near_duplicates as ND
 from corpusmill.llm.batch_dedup import BatchDeduplicator, repeats_of_earlier_batches
 from corpusmill.llm.fingerprint import blocks, most_differing, sketch
@@ -129,6 +131,32 @@ def test_ingest_finds_history_and_bridges(spark):
     state.close()
 
 
+def test_bridge_to_an_old_text_in_a_large_block(spark, monkeypatch):
+    """A new text that links to the first text of a large block also meets an old member outside that one's class."""
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    top = [word("абвгдежзиклмнопрст") for _ in range(60)]
+    old = [word("уфхцчшщыэюя") for _ in range(8)] + top[8:]
+    bridge = old[:4] + top[4:]
+    top, old, bridge = (" ".join(t) for t in (top, old, bridge))
+    x, y, z = (gram_set(normal(t)) for t in (top, old, bridge))
+    assert jaccard(x, y) < 0.8 <= min(jaccard(x, z), jaccard(y, z))
+    others = [" ".join(word("абвгдежзиклмнопрст") for _ in range(20)) for _ in range(40)]
+    features = batch_dedup._features
+
+    def one_block(batches, least_chars):
+        for batch in features(batches, least_chars):
+            yield batch.set_column(5, "keys", pa.array([[7]] * batch.num_rows, pa.list_(pa.int64())))
+
+    monkeypatch.setattr(batch_dedup, "_features", one_block)
+    state = BatchDeduplicator(spark, threshold=0.8)
+    make = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    assert state.ingest(make([(1, top), (2, old), *enumerate(others, 100)]), "id", "text").count() == 0
+    assert {tuple(r) for r in state.ingest(make([(900, bridge)]), "id", "text").collect()} == {(900, 1), (900, 2)}
+    assert {(r["id"], r["first_id"]) for r in state.classes().collect()} == {(1, 1), (2, 1), (900, 1)}
+    state.close()
+
+
 def test_no_batches(spark):
     df = spark.createDataFrame([], "key long, body string, batch int")
     assert repeats_of_earlier_batches(df, "key", "batch", "body").count() == 0
