@@ -2,7 +2,7 @@
 
 The first defect that fits, in this order: empty_answer, truncated_answer (truncation.py), refusal, question_copy,
 wrong_language. Copies: shingle containment of the response in the prompt (or coverage of the prompt by the response)
-brings a pair up, and the longest common subsequence of their tokens confirms it. Refusals: the response's opening is
+brings a pair up, and the longest common subsequence of their tokens confirms it. Refusals: the whole response is
 aligned with refusal templates by the same subsequence. Languages are told by script and by function words.
 """
 
@@ -82,23 +82,24 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-_TEMPLATES = [t.split() for t in REFUSALS]
+# cut as texts are cut, so that a template of a script with vowel signs meets what the text gives
+_TEMPLATES = [[w for part in t.split() for w in (["_"] if part == "_" else _words(part))] for t in REFUSALS]
 _RARE = [max((w for w in t if w != "_"), key=len) for t in _TEMPLATES]
 
 
 def is_refusal(text: str) -> bool:
-    """Its opening holds a template: all its words in order, within the template's length and one word more."""
-    words = _words(text)[:40]
+    """It holds a template anywhere: all its words in order, within the template's length and one word more."""
+    words = _words(text)
     held = set(words)
     for template, rare in zip(_TEMPLATES, _RARE):
         if rare not in held:
             continue
         fixed = [w for w in template if w != "_"]
         span = len(template) + 1
-        for at in range(max(1, len(words) - len(fixed) + 1)):
+        for at in (i for i, w in enumerate(words) if w == fixed[0]):
             if common_subsequence(fixed, words[at : at + span]) == len(fixed):
                 return True
-    bare = re.sub(r"\s+", "", plain(text))[:60]
+    bare = re.sub(r"\s+", "", plain(text))
     return any(t in bare for t in REFUSALS_UNSPACED)
 
 

@@ -60,6 +60,14 @@ def test_refusals(text, refused):
     assert D.is_refusal(text) is refused
 
 
+@pytest.mark.parametrize("text,refused", [
+    ("You asked me for five lines of a caller. " * 8 + "I'm sorry, but I can't help with that.", True), ("您要我写几句关于快递的话。" * 8 + "抱歉，我无法完成这个请求。", True),
+    ("क्षमा करें, मैं इस अनुरोध में मदद नहीं कर सकता।", True), ("क्षमा करें, मैं इसमें मदद नहीं कर सकती।", True), ("मैं आपकी मदद कर सकता हूँ।", False), ("You asked me for five lines of a caller. " * 12, False),
+])
+def test_refusals_anywhere_and_with_vowel_signs(text, refused):
+    assert D.is_refusal(text) is refused
+
+
 def test_copies_and_languages():
     prompt = "Write five short lines of a courier on the phone about a late parcel.\nKeep a calm tone."
     assert D.is_copy(prompt, "> " + prompt.upper()) and D.is_copy(prompt, "Write five short lines of a courier on the phone about a late parcel")
