@@ -181,15 +181,20 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["response_id", "defect"])
 
 
-def pair_defects(responses: DataFrame, prompts: DataFrame, rules: DataFrame) -> DataFrame:
+def pair_defects(responses: DataFrame, prompts: DataFrame, rules: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(response_id, defect) of each defective pair of a response and the prompt of its request_id.
 
     ``rules`` (a fixed handful of rows) has (rule_id, answer_lang); a prompt whose rule is unknown asks for its own
     language. Responses without request_id or without its prompt are no pair; a response delivered twice is two
     pairs. Empty tables give no rows.
+
+    Truncation is judged over all responses, those without request_id too, and over ``others``: further records
+    (table_name, id, source, text) of the corpus, of tables not named "api_response".
     """
-    rows = responses.where("request_id IS NOT NULL").select("response_id", "request_id", F.col("rule_id").alias("reply_rule"), "source", F.col("raw_text").alias("text"))
-    damaged = truncation(rows.select(F.lit("responses").alias("table_name"), F.col("response_id").alias("id"), "source", "text")).where("truncated").select(F.col("id").alias("response_id"), F.lit(True).alias("cut_off"))
+    rows = responses.where("request_id IS NOT NULL").select("response_id", "request_id", F.col("rule_id").alias("reply_rule"), F.col("raw_text").alias("text"))
+    records = responses.select(F.lit("api_response").alias("table_name"), F.col("response_id").alias("id"), "source", F.col("raw_text").alias("text"))
+    records = others.select("table_name", "id", "source", "text").unionByName(records) if others is not None else records
+    damaged = truncation(records).where("truncated AND table_name = 'api_response'").select(F.col("id").alias("response_id"), F.lit(True).alias("cut_off")).distinct()
     asked = prompts.select("request_id", F.col("rule_id").alias("prompt_rule"), F.col("user_prompt_after_callbacks").alias("prompt"))
     langs = F.broadcast(rules.select("rule_id", "answer_lang").dropDuplicates(["rule_id"]))
     pairs = rows.join(asked, "request_id").withColumn("rule_id", F.coalesce("prompt_rule", "reply_rule")).join(langs, "rule_id", "left").join(damaged, "response_id", "left")

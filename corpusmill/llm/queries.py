@@ -17,10 +17,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _records(spark: SparkSession, folder: str, table: str, key: str, text: str) -> DataFrame:
+    return _table(spark, folder, table).select(F.lit(table).alias("table_name"), F.col(key).alias("id"), "source", F.col(text).alias("text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from .pair_defects import pair_defects
 
-    return pair_defects(_table(spark, folder, "api_response"), _table(spark, folder, "prompt_request"), _table(spark, folder, "rule_config"))
+    others = _records(spark, folder, "accepted_mapping", "mapping_id", "llm_text")
+    return pair_defects(_table(spark, folder, "api_response"), _table(spark, folder, "prompt_request"), _table(spark, folder, "rule_config"), others)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,10 +47,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _truncation(spark: SparkSession, folder: str) -> DataFrame:
     from .truncation import truncation
 
-    parts = []
-    for table, key, text in (("accepted_mapping", "mapping_id", "llm_text"), ("api_response", "response_id", "raw_text")):
-        parts.append(_table(spark, folder, table).select(F.lit(table).alias("table_name"), F.col(key).alias("id"), "source", F.col(text).alias("text")))
-    return truncation(parts[0].unionByName(parts[1]))
+    accepted = _records(spark, folder, "accepted_mapping", "mapping_id", "llm_text")
+    return truncation(accepted.unionByName(_records(spark, folder, "api_response", "response_id", "raw_text")))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from corpusmill.llm import pair_defects as D
+from corpusmill.llm.queries import p1_found, p3_found
 from corpusmill.llm.sentences import WordLattice, sentences, split_sentences
 from corpusmill.llm.truncation import open_format, truncation, truncation_by_source
 
@@ -88,6 +89,20 @@ def test_pairs_of_tables(spark):
     assert D.pair_defects(responses.limit(0), prompts, rules).count() == 0
 
 
+def test_pairs_are_truncated_as_in_p1(spark, tmp_path):
+    """The full form of a reply's cut word stands in accepted_mapping only."""
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("bcdfghjklmnp") for _ in range(n))
+    replies = [f"please call {name(5 + i % 6)}" for i in range(40)] + ["please call wareho", "Please ring the caller back soon because the parcel has come to the desk."]
+    write = lambda rows, schema, table: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    write([(i, 1, None, "s", t) for i, t in enumerate(replies)] + [(90, None, None, "s", "Loose.")], "response_id long, request_id long, rule_id string, source string, raw_text string", "api_response")
+    write([(i, "m", f"The warehouse is open in {i}.") for i in range(3)], "mapping_id long, source string, llm_text string", "accepted_mapping")
+    write([(1, None, "Write the names of your callers")], "request_id long, rule_id string, user_prompt_after_callbacks string", "prompt_request")
+    write([("r", "en")], "rule_id string, answer_lang string", "rule_config")
+    got = {r["response_id"] for r in p3_found(spark, str(tmp_path)).where("defect = 'truncated_answer'").collect()}
+    assert got == {r["record_id"] for r in p1_found(spark, str(tmp_path)).where("table_name = 'api_response'").collect()} == {40}
+
+
 SPLITS = [
     ["Mr. Smith rang at 7.44 a.m. and left a code.", "Okay.", "The U.S. desk is open."],
     ['A reply such as "Sure. Here it is." does not count.', "Is it empty again?!", "Well... the second block was lost."],
