@@ -1,10 +1,10 @@
 """Filling fixed-capacity containers by bin completion.
 
 Every container is built around the largest item that is left: a branch-and-bound search enumerates completions of its
-room, larger sizes first, so a filling that is dominated (the same room met by smaller, more useful items) is never
-preferred to the one that dominates it; a branch is cut when even taking everything it may still take can't beat the
-best filling so far. The first leaf of the search is the best-fit filling, which is the incumbent. The container count
-is compared with best-fit decreasing and the better one is kept.
+room, larger sizes first, and cuts a branch when even taking everything it may still take can't beat the best filling so
+far. The first leaf of the search is the best-fit filling, which is the incumbent. Fillings are told apart by their waste
+only: there is no dominance test. The container level is greedy: each container takes the least-waste filling found, and
+no earlier one is opened again. The container count is compared with best-fit decreasing and the better one is kept.
 
 Items are dealt to blocks of about ``BLOCK_ITEMS`` by a hash and each block is packed by one task, so the work follows
 the input; a block leaves at most about one container partly filled. Only items larger than a container are split:
