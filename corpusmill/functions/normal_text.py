@@ -18,7 +18,7 @@ def normal(text: str) -> str:
 def gram_codes(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(code, text index) of each run of three code points in each text; 21 bits a code point, so codes are exact.
 
-    Texts of one or two characters have one code, empty ones none.
+    Texts of one or two characters have one code, which no run of three has; empty ones have none.
     """
     if n != 3:
         raise ValueError("codes are packed for n = 3")
@@ -33,7 +33,7 @@ def gram_codes(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
         codes, whose = codes[inside], owner[:-2][inside]
     short = np.flatnonzero((lengths > 0) & (lengths < 3))
     if len(short):
-        packed = [sum(ord(c) << (21 * i) for i, c in enumerate(texts[i])) for i in short]
+        packed = [sum(ord(c) << (21 * i) for i, c in enumerate(texts[i])) | 1 << 63 for i in short]
         codes, whose = np.concatenate([codes, np.array(packed, np.uint64)]), np.concatenate([whose, short])
         order = np.argsort(whose, kind="stable")
         codes, whose = codes[order], whose[order]
@@ -56,3 +56,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
         return float(not len(a) and not len(b))
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
+
+
+def grams(text: str, n: int) -> set[str]:
+    """Distinct n-character slices of a text whose white space is collapsed; one of n characters or fewer is its own only slice."""
+    text = " ".join(text.split())
+    if len(text) <= n:
+        return {text} if text else set()
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+def similarity(a: set, b: set) -> float:
+    """Jaccard value of two sets; two empty ones are equal."""
+    if not a or not b:
+        return float(not a and not b)
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)

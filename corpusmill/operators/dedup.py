@@ -5,13 +5,14 @@ below give the sequential verdicts without walking the rows one by one:
 
 * exact and prefix: the first row of each text is a grouped minimum; a text is allowed if it is among the first
   ``max_count`` texts of its prefix, a rank filter that Spark limits per task before its shuffle;
-* near-duplicates: an exact edge list from a rare-first prefix filter, then an ordered pass over the contested rows
-  only (those with an edge, a repeat or an overfull prefix); all others are accepted, and enter the pass as counts;
+* near-duplicates: an exact edge list (similarity.py) tells which texts are similar to none. Their verdicts follow from
+  counts; the rows of all others are contested and pass in order, compared with the accepted rows of their component;
 * cap: the position of the last row that a rule may accept.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -20,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import char_ngrams, normalize, prefix_key
+from ..functions.normal_text import grams, similarity
+from ..functions.normalize import normalize, prefix_key
+from ..plans.components import components
+from ..plans.scratch import cut
+from .similarity import similar_edges
 
 EXACT, PREFIX, NEAR, OK, UNPROCESSED = "duplicate_exact", "prefix_overuse", "ngram_near_duplicate", "ok", "unprocessed"
 
@@ -80,85 +85,115 @@ def _exact_and_prefix(rows: DataFrame, policy: DedupPolicy) -> DataFrame:
     return rows.join(allowed, ["bucket", "norm"], "left").withColumn("verdict", verdict).drop("first_seq")
 
 
-def similar_edges(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(bucket, a, b, jaccard) of all pairs a < b of one bucket of (bucket, tid, norm) at the threshold or more.
+def running_count(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Per bucket, the rows with the flag before each row in order of seq; by ranges of seq, so no bucket meets in one task.
 
-    Lossless: sets whose Jaccard value reaches t share one of their first ``size - ceil(t * size) + 1`` members in any
-    common order; the rarest come first. Empty sets equal each other and are the caller's exact repeats.
+    The range of each row is written down once, and both the counts per range and the rows come from that table: a second
+    evaluation would sample other bounds. ``seq`` is unique in its bucket. A row without its range is an error.
     """
-    sets = texts.select("bucket", "tid", F.transform(char_ngrams(F.col("norm"), n), lambda g: F.xxhash64(g)).alias("grams")).withColumn("size", F.size("grams"))
-    each = sets.select("bucket", "tid", "size", F.explode("grams").alias("g"))
-    ordered = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("bucket", "tid", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    keep = F.col("size") - F.ceil(F.lit(float(threshold)) * F.col("size") - 1e-6).cast("int") + 1
-    heads = ordered.select("bucket", "tid", "size", F.explode(F.slice("o", F.lit(1), F.greatest(keep, F.lit(1)))).alias("h")).select("bucket", "tid", "size", "h.g")
-    x, y = heads.alias("x"), heads.alias("y")
-    near = (F.col("x.size") >= F.col("y.size") * (threshold - 1e-9)) & (F.col("y.size") >= F.col("x.size") * (threshold - 1e-9))
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.tid") < F.col("y.tid")) & near)
-    pairs = met.select(F.col("x.bucket").alias("bucket"), F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
-    left = sets.select("bucket", F.col("tid").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select("bucket", F.col("tid").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    value = both / (F.size("ga") + F.size("gb") - both)
-    return pairs.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).select("bucket", "a", "b", value.alias("jaccard")).where(F.col("jaccard") >= F.lit(float(threshold)))
-
-
-def running_count(rows: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Per bucket, the rows with the flag before each row in order of seq; by ranges of seq, so no bucket meets in one task."""
     placed = rows.withColumn("_f", flag.cast("long")).repartitionByRange("bucket", "seq").withColumn("_p", F.spark_partition_id())
+    placed = cut(placed, "ranges")
     per = placed.groupBy("bucket", "_p").agg(F.sum("_f").alias("_n"))
-    before = per.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    before = per.select("bucket", "_p", F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.coalesce(F.sum("_f").over(Window.partitionBy("bucket", "_p").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("_i", inside).join(before, ["bucket", "_p"]).withColumn(name, F.col("_i") + F.col("_b")).drop("_f", "_p", "_i", "_b")
+    known = placed.withColumn("_i", inside).join(before.withColumnRenamed("bucket", "_k").withColumnRenamed("_p", "_q"), (F.col("bucket").eqNullSafe(F.col("_k"))) & (F.col("_p") == F.col("_q")), "left")
+    total = F.when(F.col("_b").isNull(), F.raise_error(F.lit("a row's range was not counted")).cast("long")).otherwise(F.col("_i") + F.col("_b"))
+    return known.withColumn(name, total).drop("_f", "_p", "_i", "_b", "_k", "_q")
 
 
 def _ordered_pass(policy: DedupPolicy):
     window = max(1, policy.max_compare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rank, quota, mine = None, {}, {}, 0
+        at, held, quota, recent, mine = None, set(), {}, {}, 0
         for batch in batches:
             out = []
-            for bucket, seq, tid, prefix, certain, near in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for bucket, seq, tid, last, prefix, used, certain, label, norm, prior in zip(*(batch.column(i).to_pylist() for i in range(10))):
                 if bucket != at:
-                    at, rank, quota, mine = bucket, {}, {}, 0
+                    at, held, quota, recent, mine = bucket, set(), {}, {}, 0
                 accepted = certain + mine
-                if policy.exact and tid in rank:
-                    out.append((bucket, seq, EXACT))
-                elif policy.prefix_enabled and quota.get(prefix, 0) >= policy.prefix_max:
-                    out.append((bucket, seq, PREFIX))
-                elif any((r := rank.get(o)) is not None and accepted - r <= window for o in near or ()) or (not policy.exact and (r := rank.get(tid)) is not None and accepted - r <= window):
-                    out.append((bucket, seq, NEAR))
+                near = recent.get(label) if label is not None else None
+                own = grams(norm, policy.ngram) if label is not None else None
+                while near and accepted - near[0][0] > window:
+                    near.popleft()
+                if prior:
+                    verdict = OK
+                elif policy.exact and tid in held:
+                    verdict = EXACT
+                elif policy.prefix_enabled and quota.get(prefix, 0) + used >= policy.prefix_max:
+                    verdict = PREFIX
+                elif near and any(similarity(own, other) >= policy.threshold for _, other in near):
+                    verdict = NEAR
                 else:
-                    rank[tid] = accepted
+                    verdict = OK
                     quota[prefix] = quota.get(prefix, 0) + 1
+                if verdict == OK:
+                    held.add(tid)
                     mine += 1
-                    out.append((bucket, seq, OK))
+                    if label is not None:
+                        recent.setdefault(label, deque()).append((accepted, own))
+                if seq == last:
+                    held.discard(tid)
+                out.append((bucket, seq, verdict))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], names=["bucket", "seq", "v"])
 
     return run
 
 
 def _with_ngrams(rows: DataFrame, policy: DedupPolicy) -> DataFrame:
-    rows = rows.withColumn("tid", F.xxhash64("norm"))
-    texts = rows.groupBy("bucket", "tid").agg(F.first("norm").alias("norm"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    edges = similar_edges(texts, policy.ngram, policy.threshold).select("bucket", "a", "b")
-    both = edges.select("bucket", F.col("a").alias("tid"), F.col("b").alias("o")).union(edges.select("bucket", F.col("b").alias("tid"), F.col("a").alias("o")))
-    near = both.groupBy("bucket", "tid").agg(F.collect_list("o").alias("near"))
-    size = F.count("*") if policy.exact else F.sum("copies")
-    full = texts.groupBy("bucket", "prefix").agg(size.alias("in_prefix"))
-    state = texts.join(near, ["bucket", "tid"], "left").join(full, ["bucket", "prefix"])
-    over = (F.col("in_prefix") > policy.prefix_max) if policy.prefix_enabled else F.lit(False)
-    state = state.select("bucket", "tid", "near", (F.col("near").isNotNull() | (F.col("copies") > 1) | over).alias("contested"))
-    known = running_count(rows.select("bucket", "seq", "tid", "prefix").join(state, ["bucket", "tid"]), ~F.col("contested"), "certain")
-    contested = known.where("contested").select("bucket", "seq", "tid", "prefix", "certain", "near")
+    """Verdicts under a policy with n-grams; rows with ``_prior`` count as accepted whatever they are.
+
+    A text without a similar one is judged without walking: its first row is accepted and the others repeat it, or its
+    prefix is full at its first row because as many such texts came before it. All other rows are contested. Of prior
+    rows, only the last ``max_compare`` of a bucket can be similar to what is yet to be accepted.
+    """
+    keys = ["bucket", "norm"]
+    whole = rows if "_prior" in rows.columns else rows.withColumn("_prior", F.lit(False))
+    rows = cut(whole.select("bucket", "seq", "norm", "prefix", "_prior"), "rows")
+    texts = rows.groupBy(*keys).agg(F.min("seq").alias("tid"), F.max("seq").alias("last"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"), F.max("_prior").alias("old"))
+    texts = cut(texts, "texts")
+    latest = rows.where("_prior").select(*keys, "seq").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("seq")))).where(F.col("r") <= max(1, policy.max_compare))
+    live = texts.join(latest.select(*keys).distinct().withColumn("live", F.lit(True)), keys, "left").where("live OR NOT old").select("bucket", "tid", "norm", "old")
+    edges = cut(similar_edges(live, policy.ngram, policy.threshold, F.col("old")).select("bucket", "a", "b"), "edges")
+    node = lambda c: F.xxhash64("bucket", c)  # noqa: E731 - a collision only joins two components, whose members are compared anyway
+    label = components(edges.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.col("label").alias("_label"))
+    state = texts.withColumn("node", node("tid")).join(label, "node", "left").drop("node")
+    if not policy.exact:
+        # every copy is compared with the others
+        state = state.withColumn("_label", F.coalesce("_label", F.when(F.col("copies") > 1, node("tid"))))
+    lone = state.where("_label IS NULL AND NOT old").select("bucket", "prefix", "tid")
+    state = cut(state, "state")
+    if policy.prefix_enabled:
+        used = rows.where("_prior").groupBy("bucket", "prefix").agg(F.count("*").alias("used"))
+        news = F.when(~F.col("old"), F.lit(1) if policy.exact else F.col("copies")).otherwise(F.lit(0) if policy.exact else F.col("copies"))
+        full = state.groupBy("bucket", "prefix").agg(F.sum(news).alias("news")).join(used, ["bucket", "prefix"], "left").select("bucket", "prefix", "news", F.coalesce("used", F.lit(0)).alias("used"))
+        ahead = lone.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "prefix").orderBy("tid"))).where(F.col("r") <= policy.prefix_max).select("bucket", "tid", "r")
+        state = state.join(full, ["bucket", "prefix"], "left").join(ahead, ["bucket", "tid"], "left")
+        roomy = F.col("news") + F.col("used") <= policy.prefix_max
+        behind = ~roomy & (F.col("r").isNull() | (F.col("r") + F.col("used") > policy.prefix_max))
+    else:
+        state = state.withColumn("used", F.lit(0).cast("long"))
+        roomy, behind = F.lit(True), F.lit(False)
+    sure = F.when(F.col("_label").isNotNull(), None).when(F.col("old"), EXACT if policy.exact else None).when(roomy, OK).when(behind, PREFIX)
+    state = state.select(*keys, "tid", "last", "used", "_label", sure.alias("sure"))
+    own = rows.join(state, keys)
+    accepted = F.col("_prior") | (F.col("sure") == OK) & (F.col("seq") == F.col("tid"))
+    own = own.withColumn("contested", F.col("sure").isNull() & (~F.col("_prior") | F.col("_label").isNotNull()))
+    known = running_count(own, accepted & ~F.col("contested"), "certain")
+    contested = known.where("contested").select("bucket", "seq", "tid", "last", "prefix", F.coalesce("used", F.lit(0)).alias("used"), "certain", "_label", F.when(F.col("_label").isNotNull(), F.col("norm")).alias("norm"), "_prior")
     passed = contested.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInArrow(_ordered_pass(policy), "bucket string, seq long, v string")
-    return rows.drop("tid").join(passed, ["bucket", "seq"], "left").withColumn("verdict", F.coalesce("v", F.lit(OK))).drop("v")
+    plain = known.where("NOT contested").select("bucket", "seq", F.when(F.col("_prior") | (F.col("sure") == PREFIX) | (F.col("seq") == F.col("tid")), F.when(F.col("_prior"), OK).otherwise(F.col("sure"))).otherwise(EXACT).alias("v"))
+    verdicts = passed.unionByName(plain)
+    out = whole.join(verdicts, ["bucket", "seq"], "left")
+    return out.withColumn("verdict", F.coalesce("v", F.raise_error(F.lit("a row got no verdict")))).drop("v")
 
 
 def dedup(df: DataFrame, policy: DedupPolicy, text: str = "text", rule: str = "rule_id", prior: DataFrame | None = None) -> DataFrame:
     """``df`` (with seq) plus verdict: ok, duplicate_exact, prefix_overuse or ngram_near_duplicate.
 
-    ``prior`` has (rule, seq, text) of rows accepted earlier; they come before all rows of ``df`` and get no verdict.
+    ``seq`` is a bigint, unique within a bucket. Null texts count as empty ones, which are texts like others; a null
+    rule as an empty one. ``prior`` has (rule, seq, text) of rows accepted earlier, which are state whatever the policy
+    says of them; they come before all rows of ``df`` and get no verdict. Other columns are kept, an empty table gives no rows.
     """
     rows = df
     if prior is not None:
@@ -169,7 +204,7 @@ def dedup(df: DataFrame, policy: DedupPolicy, text: str = "text", rule: str = "r
     out = _with_ngrams(rows, policy) if policy.ngram_enabled else _exact_and_prefix(rows, policy)
     if prior is not None:
         out = out.where("NOT _prior").withColumn("seq", F.col("_seq")).drop("_prior", "_seq")
-    return out.drop("norm", "prefix")
+    return out.drop("norm", "prefix", "_prior")
 
 
 def cap(df: DataFrame, counts: DataFrame, rule: str = "rule_id", verdict: str = "verdict", already: DataFrame | None = None) -> DataFrame:

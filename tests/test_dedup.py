@@ -77,6 +77,57 @@ def test_resumed_in_two_halves(spark):
     assert got == whole
 
 
+def test_many_rows_equal_the_sequential_ones(spark):
+    """20,000 rows of few buckets with repeats, full prefixes and similar texts; every text is accepted once."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("абвгдежз") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    rows = []
+    for i in range(20_000):
+        if rows and rng.random() < 0.5:
+            text = rng.choice(rows[-400:])[2]
+            text = text + rng.choice(["!", " да", "х", " ё"]) if rng.random() < 0.5 else text
+        else:
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+        rows.append(("r" if rng.random() < 0.8 else f"s{i % 3}", i, text))
+    policy = D.DedupPolicy("m", prefix_words=2, prefix_max=12, threshold=0.8, max_compare=150)
+    df = spark.createDataFrame(rows, "rule_id string, seq long, text string").repartition(13)
+    got = {(r["rule_id"], r["seq"]): r["verdict"] for r in D.dedup(df, policy).collect()}
+    want = sequential(rows, policy)
+    assert got == want and set(Counter(want.values())) == {D.OK, D.EXACT, D.PREFIX, D.NEAR}
+
+
+def test_prior_rows_are_state_whatever_they_are(spark):
+    """Prior rows that the policy would reject still count, as they were accepted before."""
+    policy = D.DedupPolicy("p", prefix_words=1, prefix_max=3, threshold=0.7, max_compare=2)
+    make = lambda part: spark.createDataFrame(part, "rule_id string, seq long, text string")
+    prior = [("r", 1, "один два три четыре"), ("r", 2, "один два три четыре"), ("r", 3, "один два три четыре!!"), ("r", 4, "семь восемь девять десять"), ("r", 5, "шесть")]
+    rows = [("r", 1, "один другой текст"), ("r", 2, "семь восемь девять десят"), ("r", 3, "шесть"), ("r", 4, "новый")]
+    got = {r["seq"]: r["verdict"] for r in D.dedup(make(rows), policy, prior=make(prior)).collect()}
+    assert got == {1: D.PREFIX, 2: D.NEAR, 3: D.EXACT, 4: D.OK}
+
+
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}, {"spark.sql.adaptive.enabled": "false"}], ids=["default", "uncoalesced", "static"])
+@pytest.mark.parametrize("buckets", [1, 1000])
+def test_running_count_of_many_rows(spark, settings, buckets):
+    """Every row comes back with the right number, whatever the partitions are."""
+    settings = {"spark.sql.shuffle.partitions": "32", **settings}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    n = 400_000
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        seq = F.pmod(F.col("id") * 7919, F.lit(n))
+        rows = spark.range(n).select(F.format_string("b%d", F.pmod(seq, F.lit(buckets))).alias("bucket"), seq.alias("seq"))
+        # every second row of a bucket has the flag: before the j-th row there are (j + 1) // 2
+        place = F.floor(F.col("seq") / buckets)
+        got = D.running_count(rows, F.pmod(F.floor(F.col("seq") / buckets), F.lit(2)) == 0, "k")
+        wrong, found = got.agg(F.sum((F.col("k") != F.floor((place + 1) / 2)).cast("long")).alias("w"), F.countDistinct("seq").alias("n")).first()
+        assert (wrong, found) == (0, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_cap_and_rules_in_order(spark):
     rows = [("r0", i, f"t {i}") for i in range(6)] + [("r1", i, f"t {i}") for i in range(6)]
     df = spark.createDataFrame(rows, "rule_id string, seq long, text string")
