@@ -67,9 +67,14 @@ def repeat_words(digits: Column) -> Column:
     return F.when(equal, F.concat_ws(" ", F.when(F.char_length(digits) == 2, TIMES[2]).otherwise(TIMES[3]), _at(REPEATED, F.substring(digits, 1, 1))))
 
 
+def drawn(*keys: Column) -> Column:
+    """A number from 0 to 2**32 - 1 by the keys, the same in every run and every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in keys))), 1, 8), 16, 10).cast("long")
+
+
 def pick(options: Column, *keys: Column) -> Column:
-    """One element, chosen by a hash of the keys, so the choice is the same in every run."""
-    return F.get(options, F.pmod(F.xxhash64(*keys), F.size(options).cast("long")).cast("int"))
+    """One element, drawn by the keys."""
+    return F.get(options, F.pmod(drawn(*keys), F.size(options).cast("long")).cast("int"))
 
 
 def fixed_width_words(digits: Column, *keys: Column) -> Column:

@@ -105,7 +105,7 @@ def post_validation(functions: list[Callable], text: Column, anchor: Column | No
     return call(text, F.lit(None).cast("string") if anchor is None else anchor)
 
 
-def anchored_by_table(df: DataFrame, cases: DataFrame, anchor: str = "callback_anchor", key: str = "case_id") -> DataFrame:
-    """``df`` with the case of its anchor; of several cases with a key the one with the greatest ``case_order`` wins."""
-    last = cases.groupBy(key).agg(F.max_by(F.struct(*[c for c in cases.columns if c != key]), F.col("case_order")).alias("case"))
-    return df.join(last, df[anchor] == last[key], "left").drop(key)
+def anchored_by_table(df: DataFrame, cases: DataFrame, anchor: str = "callback_anchor", key: str = "case_id", order: str = "case_order") -> DataFrame:
+    """``df`` plus ``case``, the struct of its anchor's case, null where there is none; of several cases with a key the one with the greatest ``order`` wins."""
+    last = cases.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cases.columns), F.col(order)).alias("case"))
+    return df.join(last, F.col(anchor) == F.col("_key"), "left").drop("_key")

@@ -48,7 +48,7 @@ def expand_variants(phones: DataFrame, seed: int = 42) -> DataFrame:
         return N.pick(F.array(*options), F.col("index"), F.lit(f"{seed}:{salt}"))
 
     def chance(salt: str, share: float) -> Column:
-        return F.pmod(F.xxhash64("index", F.lit(f"{seed}:{salt}")), F.lit(1000)) < int(1000 * share)
+        return F.pmod(N.drawn(F.col("index"), F.lit(f"{seed}:{salt}")), F.lit(1000)) < int(1000 * share)
 
     ideal = F.concat_ws(" ", F.lit("восемь"), *(words(i, "ideal") for i in range(1, 5)))
     mixed = F.concat_ws(" ", choose("m0", F.lit("8"), F.lit("+7"), F.lit("семь")), words(1, "m"), *(choose(f"m{i}", b[i], words(i, "m")) for i in (2, 3, 4)))
@@ -87,6 +87,19 @@ def assign_cyclically(requests: DataFrame, cases: DataFrame, order: str, case_or
     return left.join(number(cases, case_order), "_n").drop("_n")
 
 
+def used_log(assigned: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """The log of used cases, one row for each assigned one: created_at_unix, use_index, case_id, kind, target_digits, expected_result."""
+    now = F.unix_micros(F.current_timestamp()) / 1e6 if created_at is None else created_at
+    return assigned.select(now.cast("double").alias("created_at_unix"), "use_index", "case_id", "kind", "target_digits", "expected_result")
+
+
+def accepted_log(judged: DataFrame, text: str = "text", created_at: Column | None = None) -> DataFrame:
+    """The log of texts that wrap their case's dictation (validators.wraps_dictation), with the case's fields."""
+    now = F.unix_micros(F.current_timestamp()) / 1e6 if created_at is None else created_at
+    fields = ("case_id", "phone_digits", "target_digits", "expected_result", "kind", "spoken")
+    return judged.where("reason IS NULL").select(now.cast("double").alias("created_at_unix"), *(F.col(f"case.{f}").alias(f) for f in fields), F.col(text).alias("llm_text"))
+
+
 def case_block(template: str = "CASE {case_id}\nkind: {kind}\ntarget: {target_digits}\nresult: {expected_result}\n<<<{spoken}>>>") -> Column:
     """The template with the case's fields; a null field reads ``null``."""
     out, rest = [], template

@@ -20,6 +20,12 @@ def plan_size(remaining: int, batch_size: int, prompts_per_cycle: int, concurren
     return max(0, min(prompts_per_cycle, concurrency, max(1, math.ceil(remaining / max(1, batch_size))), requests_left))
 
 
+def planned(remaining: Column, batch_size: Column, prompts_per_cycle: int, concurrency: int, requests_left: Column) -> Column:
+    """The same as a Column, for many rules at once."""
+    batches = F.greatest(F.lit(1), F.ceil(remaining / F.greatest(F.lit(1), batch_size)))
+    return F.greatest(F.lit(0), F.least(F.lit(prompts_per_cycle), F.lit(concurrency), batches, requests_left)).cast("int")
+
+
 def plan_requests(spark: SparkSession, rule_id: str, start: int, count: int) -> DataFrame:
     """(rule_id, request_index) of ``count`` requests after ``start``."""
     return spark.range(start + 1, start + count + 1).select(F.lit(rule_id).alias("rule_id"), F.col("id").cast("int").alias("request_index"))

@@ -40,6 +40,12 @@ def parsed_candidates(replies: DataFrame, items: str = "items", rule: str = "rul
     return replies.groupBy(rule).agg(F.count("*").alias("api_requests"), F.sum(size).alias("parsed_candidates"), F.sum(F.col(items).isNull().cast("long")).alias("parse_errors"))
 
 
+def error_counts(replies: DataFrame, items: str = "items", rule: str = "rule_id") -> DataFrame:
+    """(rule, error, n): api_error for replies without a text, parse_error for those whose text gives no items."""
+    kind = F.when(F.col("raw_text").isNull(), "api_error").when(F.col(items).isNull(), "parse_error")
+    return replies.select(rule, kind.alias("error")).where("error IS NOT NULL").groupBy(rule, "error").agg(F.count("*").alias("n"))
+
+
 def rule_status(accepted: Column, target: Column, requests: Column, max_requests: int, empty_cycles: Column, max_empty: int) -> Column:
     return F.when(accepted >= target, "done").when(requests >= max_requests, "request_limit_reached").when(empty_cycles >= max_empty, "empty_cycle_limit_reached").when(requests > 0, "running").otherwise("pending")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as NZ
@@ -17,7 +18,7 @@ from ..operators import phone as PH
 from ..operators import prompts as R
 from ..operators import report as A
 from ..operators import validators as V
-from ..operators.checks import Check, chain, reason
+from ..operators.checks import Check, chain, describe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,9 +143,9 @@ def spoken_form(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Dictations of one number, as it is written, that are similar at 0.75."""
-    rows = _table(spark, folder, "phone_variant").where("spoken IS NOT NULL").select(F.coalesce("phone_digits", F.lit("")).alias("bucket"), NZ.normalize(F.col("spoken")).alias("norm"))
-    texts = rows.distinct().select("bucket", "norm", F.xxhash64("norm").alias("tid"))
-    names = texts.groupBy("bucket", "tid").agg(F.md5(F.first("norm")).alias("m"))
+    rows = _table(spark, folder, "phone_variant").where("spoken IS NOT NULL").select(F.coalesce("phone_digits", F.lit("")).alias("bucket"), NZ.normalize(F.col("spoken")).alias("norm"), "variant_id")
+    texts = rows.groupBy("bucket", "norm").agg(F.min("variant_id").alias("tid"))
+    names = texts.select("bucket", "tid", F.md5("norm").alias("m"))
     edges = D.similar_edges(texts, 3, 0.75)
     left, right = names.select("bucket", F.col("tid").alias("a"), F.col("m").alias("ma")), names.select("bucket", F.col("tid").alias("b"), F.col("m").alias("mb"))
     return edges.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).select("bucket", F.least("ma", "mb").alias("text_a"), F.greatest("ma", "mb").alias("text_b"), F.round("jaccard", 6).alias("jaccard"))
@@ -247,34 +248,60 @@ def report_reasons_map(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rule_id", F.to_json("rejected").alias("rejected"))
 
 
-STYLE = ["(json|markdown)", "^[0-9]+[.)]"]
-
-
 @query
 def validator_shape(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("doc_id", "candidate_index", V.shape(F.col("text"), STYLE).alias("reason"))
+    return _lines(spark, folder).select("doc_id", "candidate_index", V.shape(F.col("text")).alias("reason"))
 
 
 @query
 def validator_question_marker(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("doc_id", "candidate_index", V.question_marker(F.col("text"), STYLE, ["раз?", "again?", "цифре?"]).alias("reason"))
+    return _lines(spark, folder).select("doc_id", "candidate_index", V.question_marker(F.col("text"), markers=["раз?", "again?", "цифре?"]).alias("reason"))
 
 
 @query
 def validator_required_fragment(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("doc_id", "candidate_index", V.required_fragment(F.col("text"), "номер", STYLE, ["Номер"]).alias("reason"))
+    t = F.col("text")
+    return _lines(spark, folder).select("doc_id", "candidate_index", V.required_fragment(t, "номер", standalone=True).alias("standalone"), V.spelled_fragment(t, "номер", ["Номер"], "wrong_spelling").alias("spelled"))
 
 
 @query
 def validator_term_phrase(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("doc_id", "candidate_index", V.term_phrase(F.col("text"), "окно", ["окно", "правило"], ["номер", "текст", "снова"], STYLE, ["погода"]).alias("reason"))
+    t = F.col("text")
+    other = V.term_phrase(t, "окно", ["окно", "правило"], ["номер", "текст", "снова", "окн"], off_topic=["погода", "лес"])
+    return _lines(spark, folder).select("doc_id", "candidate_index", other.alias("reason"), V.channel_term_phrase(t, "номер", [r"\bна\s+номер\b", r"\bномер\b.*\bтекст"], r"\bномерк\w*\b").alias("channel"))
+
+
+@query
+def validator_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every validator of the phrase sets on every line; a line's last word is exchanged for the validator's term, so that each meets texts that hold it."""
+    terms = dict(ai_mop="АИ МОП", amocrm="AmoCRM", bitrix="Bitrix", api="API", whatsapp="WhatsApp", telegram="Telegram", max="Max", sahara="пустыня Сахара", refuseniks="отказников", question_check="Понятно?", one_c="1С")
+    rows = _lines(spark, folder).withColumn("last", F.element_at(NZ.words(F.col("text")), -1))
+    rows = rows.withColumn("begin", F.expr("left(text, char_length(text) - char_length(last))")).select("doc_id", "candidate_index", "begin")
+    # a plan for each: together their code would be too long to be compiled
+    each = [rows.select("doc_id", "candidate_index", F.lit(name).alias("validator"), V.VALIDATORS[name](F.concat("begin", F.lit(term))).alias("reason")) for name, term in terms.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query
 def anchor_join_validate(spark: SparkSession, folder: str) -> DataFrame:
-    cases = _table(spark, folder, "phone_variant").select("case_id", "spoken", "phone_digits")
+    return _wrapped(spark, folder).select("mapping_id", "reason")
+
+
+def _wrapped(spark: SparkSession, folder: str) -> DataFrame:
+    cases = _table(spark, folder, "phone_variant").select("case_id", "phone_digits", "target_digits", "expected_result", "kind", "spoken", "variant_id")
     rows = _table(spark, folder, "accepted_mapping").select("mapping_id", F.col("case_id").alias("callback_anchor"), F.col("llm_text").alias("text"))
-    return V.wraps_dictation(rows, cases).select("mapping_id", "reason")
+    return V.wraps_dictation(rows, cases, order="variant_id")
+
+
+@query
+def accepted_case_log(spark: SparkSession, folder: str) -> DataFrame:
+    return PH.accepted_log(_wrapped(spark, folder), created_at=F.lit(0))
+
+
+@query
+def used_case_log(spark: SparkSession, folder: str) -> DataFrame:
+    cases = _table(spark, folder, "phone_variant").select("variant_id", "case_id", "kind", "target_digits", "expected_result")
+    return PH.used_log(PH.assign_cyclically(_table(spark, folder, "prompt_request").select("request_id"), cases, "request_id", "variant_id"), F.lit(0))
 
 
 @query
@@ -297,6 +324,43 @@ def number_words(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("variant_id", N.digit_words(F.col("d")).alias("digit_words"), N.number_to_words(F.when(F.col("d") != "", F.col("d")).cast("int")).alias("value_words"), N.repeat_words(F.col("d")).alias("repeat_words"))
 
 
+@query
+def block_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Tail blocks of all numbers read in one of the ways that keep leading zeros, apart and in one word."""
+    rows = _table(spark, folder, "phone_variant").select("variant_id", F.regexp_extract("phone_digits", r"([0-9]{3})$", 1).alias("d"))
+    return rows.select("variant_id", N.fixed_width_words(F.col("d"), F.col("variant_id")).alias("words"), N.compact_words(F.col("d"), F.col("variant_id")).alias("glued"))
+
+
+@query
+def rule_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What the checks of each rule say of themselves in a prompt."""
+    return _table(spark, folder, "documents").select("doc_id", F.lit("\n".join(describe([WORDS, ANY, REJECT, NO_RX, RUSSIAN, NO_LATIN, *(Check(t) for t in ("no_digits", "require_digits", "not_instruction_echo"))]))).alias("checks"))
+
+
+@query
+def requests_planned(spark: SparkSession, folder: str) -> DataFrame:
+    """The next cycle's requests of each rule, after its last recorded one."""
+    last = _table(spark, folder, "prompt_request").groupBy("rule_id").agg(F.max("request_index").alias("last"), F.count("*").alias("n"))
+    rules = _table(spark, folder, "rule_config").join(last, "rule_id", "left")
+    size = R.planned(F.col("target_count") - F.coalesce("n", F.lit(0)), F.col("batch_size"), 4, 3, F.lit(10_000) - F.coalesce("last", F.lit(0)))
+    return rules.select("rule_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), F.coalesce("last", F.lit(0)).alias("last"), size.alias("size")).where("k <= size").select("rule_id", (F.col("last") + F.col("k")).alias("request_index"))
+
+
+@query
+def report_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of each rule by type: replies that failed, and replies that the parser rejects."""
+    rows = _table(spark, folder, "api_response").join(F.broadcast(_table(spark, folder, "rule_config").select("rule_id", "parser")), "rule_id")
+    return A.error_counts(rows.withColumn("items", P.items_by(F.col("parser"), F.col("raw_text"))))
+
+
+@query
+def similar_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate replies of each rule over the whole reply table, by the rule's bucket."""
+    rows = _table(spark, folder, "api_response").where("raw_text IS NOT NULL").select(F.coalesce("rule_id", F.lit("")).alias("bucket"), NZ.normalize(F.col("raw_text")).alias("norm"), "response_id")
+    texts = rows.groupBy("bucket", "norm").agg(F.min("response_id").alias("tid"))
+    return D.similar_edges(texts, 3, 0.88).select("bucket", F.col("a").alias("first_id"), F.col("b").alias("response_id"), "jaccard")
+
+
 @query
 def phone_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Generated cases, as many numbers as there are suppliers."""
@@ -354,8 +418,3 @@ def completion_replay(spark: SparkSession, folder: str) -> DataFrame:
 
     prompts = _table(spark, folder, "prompt_request").where("rule_id IS NOT NULL").select("rule_id", "request_index").distinct()
     return replay(prompts, _replies(spark, folder))
-
-
-def reason_of(name: str, text: Column, **params) -> Column:
-    """Shorthand for interactive use: the reason of one check."""
-    return reason(Check(name, params), text)

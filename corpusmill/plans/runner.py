@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import callbacks as U
 from ..operators import prompts as R
 from ..operators.report import counts_by_reason, first_samples, rule_status, run_status
@@ -38,10 +39,15 @@ class Generator:
         self.folder = project.output.root_dir
         self.data = f"{self.folder}/{project.output.per_rule_dir}"
         self.rules: dict[str, dict] = {}
+        self.started = time.time()
+
+    def _rule_path(self, rule_id: str) -> str:
+        return f"{self.data}/{rule_id}.jsonl"
 
     def _accepted(self) -> DataFrame:
-        rows = jsonl.read_tolerant(self.spark, self.data, RECORD)
-        return rows.where("text IS NOT NULL")
+        """Accepted rows of the project's rules; rows of rules that it has no more are not read."""
+        rows = jsonl.read_tolerant(self.spark, [self._rule_path(r.id) for r in self.project.rules], RECORD)
+        return rows.where(strip(F.col("text")) != "")
 
     def _prior(self, rule: Rule) -> DataFrame:
         """Earlier accepted rows that share the rule's bucket, of all rules for a global one."""
@@ -65,6 +71,8 @@ class Generator:
         policy = p.policy(rule)
         done = self._accepted().where(F.col("rule_id") == rule.id).agg(F.count("*").alias("n"), F.max("meta.request_index").alias("last")).first()
         state = self.rules[rule.id] = {"rule_id": rule.id, "target": rule.count, "accepted": done["n"], "api_requests": 0, "parsed_candidates": 0, "rejected": {}, "errors": {}, "rejection_samples": [], "started_at_unix": time.time()}
+        state["status"] = "running"
+        self._touch()
         start, empty = done["last"] or 0, 0
         while state["accepted"] < rule.count and state["api_requests"] < run.max_requests_per_rule and empty < run.max_consecutive_empty_cycles:
             count = R.plan_size(rule.count - state["accepted"], rule.batch_size, run.prompts_per_cycle, p.api.concurrency, run.max_requests_per_rule - state["api_requests"])
@@ -74,13 +82,15 @@ class Generator:
             got = self._cycle(rule, policy, post, start, count, state)
             start += count
             state["api_requests"] += count
+            state["updated_at_unix"] = time.time()
+            self._touch()
             empty = 0 if got else empty + 1
         limits = (F.lit(state["accepted"]), F.lit(rule.count), F.lit(state["api_requests"]), run.max_requests_per_rule, F.lit(empty), run.max_consecutive_empty_cycles)
         state["status"] = self.spark.range(1).select(rule_status(*limits).alias("s")).first()["s"]
         if "no_prompt_requests" in state["errors"]:
             state["status"] = "request_limit_reached"
-        state["remaining"] = max(rule.count - state["accepted"], 0)
-        state["finished_at_unix"] = time.time()
+        state["finished_at_unix"] = state["updated_at_unix"] = time.time()
+        self._touch()
 
     def _cycle(self, rule: Rule, policy, post, start: int, count: int, state: dict) -> int:
         p = self.project
@@ -91,8 +101,11 @@ class Generator:
         rows = cut(V.judged(candidates, list(rule.checks), post, policy, rule.count, self._prior(rule), state["accepted"]), "verdicts")
         specs = (*p.pre_extension, *rule.pre_extension), (*p.post_validation, *rule.post_validation)
         accepted = V.accepted_records(rows.where("stage = 'ok'"), p.run.name, p.api.model, p.parser, *specs, time.time())
-        jsonl.write_lines(accepted.withColumn("rule", F.col("rule_id")), self.data, "append", ["rule"])
-        failed = replies.where("raw_text IS NULL").count()
+        accepted = cut(accepted, "accepted")
+        jsonl.write_lines(accepted, self._rule_path(rule.id), "append")
+        jsonl.write_lines(accepted, f"{self.folder}/{p.output.dataset_filename}", "append")
+        lost = replies.where("raw_text IS NULL")
+        failed = lost.count()
         broken = items.where("items IS NULL")
         counts = {r["reason"]: r["n"] for r in counts_by_reason(rows).collect()}  # a row for each reason
         if n := broken.count():
@@ -103,10 +116,15 @@ class Generator:
             state["errors"][U.ERROR] = state["errors"].get(U.ERROR, 0) + n
         for reason, n in counts.items():
             state["rejected"][reason] = state["rejected"].get(reason, 0) + n
-        room = p.output.rejection_sample_limit_per_rule - len(state["rejection_samples"])
-        if room > 0:
-            shown = first_samples(rows.where("reason IS NOT NULL"), room).orderBy("n").select("reason", "text", "error")
-            state["rejection_samples"] += [r.asDict() for r in shown.collect()]
+        samples = state["rejection_samples"]
+        room = lambda: p.output.rejection_sample_limit_per_rule - len(samples)
+        if failed and room() > 0:
+            samples += [{"reason": "api_error", "error": r["error"]} for r in lost.orderBy("request_index").limit(room()).collect()]
+        if counts.get("parse_error") and room() > 0:
+            samples += [{"reason": "parse_error", "error": f"not a reply for the parser {p.parser}", "raw_text": r["raw_text"]} for r in broken.orderBy("request_index").limit(room()).collect()]
+        if room() > 0:
+            shown = first_samples(rows.where("reason IS NOT NULL"), room()).orderBy("n").select("reason", "text", "error")
+            samples += [{k: v for k, v in r.asDict().items() if k != "error" or v is not None} for r in shown.collect()]
         state["parsed_candidates"] += items.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
         got = rows.where("stage = 'ok'").count()
         state["accepted"] += got
@@ -114,31 +132,35 @@ class Generator:
         return got
 
     def run(self) -> dict:
-        """Process all rules in order; returns the report, which is also written to the output folder."""
+        """Process all rules in order; returns the report, which is written after each cycle."""
         if not self.project.run.resume:
             for rule in self.project.rules:
-                jsonl.truncate(self.spark, f"{self.data}/rule={rule.id}")
-        started, error = time.time(), None
+                jsonl.truncate(self.spark, self._rule_path(rule.id))
+            jsonl.truncate(self.spark, f"{self.folder}/{self.project.output.dataset_filename}")
+        self.started = time.time()
+        self._touch()
         try:
             for rule in self.project.rules:
                 self._run_rule(rule)
         except Exception as e:
-            error = f"{type(e).__name__}: {e}"
+            self._touch("failed", f"{type(e).__name__}: {e}")
             raise
-        finally:
-            report = self.report(started, error)
-            jsonl.write_report(report, f"{self.folder}/{self.project.output.report_filename}")
-        self.dataset()
-        return report
+        return self._touch(run_status([r["status"] for r in self.rules.values()]))
 
     def dataset(self) -> DataFrame:
-        """All rules' accepted records, also written as one table."""
-        rows = self._accepted()
-        jsonl.write_lines(rows, f"{self.folder}/{self.project.output.dataset_filename}", "overwrite")
-        return rows
-
-    def report(self, started: float, error: str | None) -> dict:
-        rules = list(self.rules.values())
-        total = {k: sum(r.get(k, 0) for r in rules) for k in ("target", "accepted", "remaining")}
-        out = {"run_name": self.project.run.name, "status": run_status([r.get("status", "running") for r in rules], error is not None), "model": self.project.api.model, "started_at_unix": started, "finished_at_unix": time.time(), "totals": total, "rules": self.rules}
+        """All accepted records that the dataset folder holds."""
+        return jsonl.read_tolerant(self.spark, f"{self.folder}/{self.project.output.dataset_filename}", RECORD)
+
+    def _touch(self, status: str = "running", error: str | None = None) -> dict:
+        report = self.report(status, error)
+        jsonl.write_report(self.spark, report, f"{self.folder}/{self.project.output.report_filename}")
+        return report
+
+    def report(self, status: str = "running", error: str | None = None) -> dict:
+        """The state of the run, at any time."""
+        now = time.time()
+        rules = {k: {"rule_id": k, "status": "pending"} | r | {"remaining": max(r["target"] - r["accepted"], 0)} for k, r in self.rules.items()}
+        total = {k: sum(r[k] for r in rules.values()) for k in ("target", "accepted")}
+        out = {"run_name": self.project.run.name, "status": status, "model": self.project.api.model, "started_at_unix": self.started, "updated_at_unix": now, "finished_at_unix": None if status == "running" else now}
+        out |= {"totals": total | {"remaining": max(total["target"] - total["accepted"], 0)}, "rules": rules}
         return out | ({"fatal_error": error} if error else {})

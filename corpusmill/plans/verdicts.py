@@ -11,6 +11,7 @@ from ..operators import callbacks as U
 from ..operators import dedup as D
 from ..operators import parsers as P
 from ..operators.checks import Check, chain
+from .scratch import cut
 
 #: Candidates of one reply at most; the order of rows is request_index, then candidate_index.
 PER_REPLY = 1 << 20
@@ -32,13 +33,14 @@ def judged(candidates: DataFrame, checks: list[Check], post: list[Callable], pol
         why, error = F.when(passed, F.col("post.reason")), F.when(passed, F.col("post.error"))
     else:
         why, error = F.lit(None).cast("string"), F.lit(None).cast("string")
-    rows = rows.withColumn("early", F.coalesce("check_reason", why)).withColumn("error", error)
+    # written once, so that checks and user callbacks run once for each candidate
+    rows = cut(rows.withColumn("early", F.coalesce("check_reason", why)).withColumn("error", error).drop("post"), "judged")
     late = D.dedup(rows.where("early IS NULL"), policy, prior=prior).drop("bucket")
     late = _capped(late, target - already)
     stage = F.when(F.col("verdict").isin(D.OK, D.UNPROCESSED), F.col("verdict")).otherwise("dedup")
     late = late.withColumn("stage", stage).withColumn("reason", F.when(stage == "dedup", F.concat(F.lit("dedup:"), "verdict"))).drop("verdict")
     first = rows.where("early IS NOT NULL").withColumn("stage", F.when(F.col("check_reason").isNotNull(), "check").otherwise("post_validation")).withColumn("reason", F.col("early"))
-    out = late.unionByName(first).drop("check_reason", "post", "early")
+    out = late.unionByName(first).drop("check_reason", "early")
     # rows behind the one that filled the rule were never looked at
     last = out.where("stage = 'ok'").agg(F.max("seq").alias("last"), F.count("*").alias("n"))
     full = F.broadcast(last.where(F.col("n") >= max(0, target - already)).select("last"))

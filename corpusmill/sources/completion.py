@@ -1,4 +1,4 @@
-"""Chat completions as a source: requests go out from the tasks, at most ``concurrency`` at a time in each."""
+"""Chat completions as a source: requests go out from the tasks, at most ``concurrency`` at a time in all of them."""
 
 from __future__ import annotations
 
@@ -69,7 +69,9 @@ def http_completer(api: ApiConfig, sampling: SamplingConfig) -> Completer:
 
 
 def complete(prompts: DataFrame, completer: Completer, concurrency: int = 4) -> DataFrame:
-    """(rule_id, request_index, raw_text, error) of (rule_id, request_index, system, user)."""
+    """(rule_id, request_index, raw_text, error) of (rule_id, request_index, system, user); the tasks share the concurrency."""
+    tasks = max(1, min(concurrency, prompts.sparkSession.sparkContext.defaultParallelism))
+    threads = max(1, concurrency // tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(row: tuple[str, str]) -> tuple[str | None, str | None]:
@@ -78,12 +80,12 @@ def complete(prompts: DataFrame, completer: Completer, concurrency: int = 4) ->
             except Exception as e:  # noqa: BLE001
                 return None, f"{type(e).__name__}: {e}"
 
-        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        with ThreadPoolExecutor(threads) as pool:
             for b in batches:
                 got = list(pool.map(one, zip(b.column(2).to_pylist(), b.column(3).to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["rule_id", "request_index", "raw_text", "error"])
 
-    return prompts.select("rule_id", F.col("request_index").cast("int"), "system", "user").mapInArrow(run, "rule_id string, request_index int, raw_text string, error string")
+    return prompts.select("rule_id", F.col("request_index").cast("int"), "system", "user").repartition(tasks).mapInArrow(run, "rule_id string, request_index int, raw_text string, error string")
 
 
 def replay(prompts: DataFrame, replies: DataFrame) -> DataFrame:

@@ -3,34 +3,33 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..plans.scratch import drop, exists
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).where(strip(F.col("value")) != "")
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a JSONL file or folder; a missing path, blank lines, invalid JSON and other JSON values give no row."""
-    if not _exists(spark, path):
+def read_tolerant(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Objects of JSONL files or folders; a missing path, blank lines, invalid JSON and other JSON values give no row.
+
+    A field of another type than the schema's is null, the object's other fields are kept.
+    """
+    there = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
+    if not there:
         return spark.createDataFrame([], schema)
-    rows = _lines(spark, path).where(strip(F.col("value")).startswith("{")).withColumn("row", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    return rows.where("row._bad IS NULL").select("row.*").drop("_bad")
+    rows = _lines(spark, there).where(strip(F.col("value")).startswith("{") & F.from_json("value", "map<string,string>").isNotNull())
+    return rows.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same, but a missing path is a FileNotFoundError and a line that is no object fails the query."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     rows = _lines(spark, path).withColumn("row", F.from_json("value", schema, {"mode": "FAILFAST"}))
     bad = F.when(~strip(F.col("value")).startswith("{"), F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))).otherwise(F.lit(True))
@@ -38,7 +37,7 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
-    return _lines(spark, path).count() if _exists(spark, path) else 0
+    return _lines(spark, path).count() if exists(spark, path) else 0
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "append", by: list[str] | None = None) -> None:
@@ -48,13 +47,21 @@ def write_lines(df: DataFrame, path: str, mode: str = "append", by: list[str] |
 
 
 def truncate(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def write_report(report: dict, path: str) -> None:
-    """The whole report, replaced in one step."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path + ".tmp", "w", encoding="utf-8") as file:
-        json.dump(report, file, ensure_ascii=False, indent=2)
-    os.replace(path + ".tmp", path)
+    drop(spark, path)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """The whole report, replaced in one step, on any file system of the cluster."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    target, part = fs.Path(path), fs.Path(path + ".tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = part.getFileSystem(conf).create(part, True)
+    try:
+        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    full = target.getFileSystem(conf).makeQualified(target)
+    fs.FileContext.getFileContext(full.toUri(), conf).rename(target.getFileSystem(conf).makeQualified(part), full, over)

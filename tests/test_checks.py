@@ -51,21 +51,30 @@ def test_errors_and_descriptions():
     assert describe([Check("word_count_between", {"min": 1, "max": 2}), Check("no_latin", {"allow_inside": ["A", "B"]})]) == ["word count must be between 1 and 2", "must not contain Latin characters outside: A, B"]
 
 
-def test_validators(spark):
-    style = [r"\bjson\b"]
-    texts = {"a  b c d e": "bad_spacing", "a b c — d e": "written_or_dialog_punctuation", "a b json d e": "written_style", "a b": "sentence_fragment", "a b c d e": None}
+def _reasons(spark, texts, validator):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    assert [r["r"] for r in df.select("i", V.shape(F.col("t"), style).alias("r")).orderBy("i").collect()] == list(texts.values())
-    q = {"скажи мне это ещё раз Окей?": None, "скажи мне это ещё раз": "question_marker_count", "Окей? скажи мне это ещё раз": "question_marker_not_final", "да? скажи мне ещё раз Окей?": "question_mark_count"}
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(q)], "i int, t string")
-    assert [r["r"] for r in df.select("i", V.question_marker(F.col("t"), style).alias("r")).orderBy("i").collect()] == list(q.values())
-    f = {"это моя пустыня Сахара тут": None, "это моя пустыня тут же": "required_fragment_count", "это моя пустыня Сахараx тут": "required_word_not_standalone"}
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(f)], "i int, t string")
-    assert [r["r"] for r in df.select("i", V.required_fragment(F.col("t"), "пустыня Сахара", style, standalone=True).alias("r")).orderBy("i").collect()] == list(f.values())
+    return [r["r"] for r in df.select("i", validator(F.col("t")).alias("r")).orderBy("i").collect()]
+
+
+@pytest.mark.parametrize(
+    "name, cases",
+    [
+        ("sahara", {"  это моя пустыня Сахара тут ": None, "a  b c d пустыня Сахара": "bad_spacing", "это моя пустыня Сахара тут\n": "multiline", "это моя — пустыня Сахара (тут)": None, "это моя: пустыня Сахара тут": "written_or_dialog_punctuation", "1. это моя пустыня Сахара": "written_style", "моя пустыня Сахара тут": "sentence_fragment", "это моя пустыня Сахара тут,": "sentence_fragment", "это моя пустыня тут же": "required_fragment_count", None: None}),
+        ("refuseniks", {"тут живёт много отказников у нас": None, "тут живёт много отказниковых людей": "required_word_not_standalone"}),
+        ("question_check", {"скажи мне это ещё раз Окей?": None, "скажи мне это ещё раз": "question_marker_count", "Окей? скажи мне это ещё раз": "question_marker_not_final", "да? скажи мне ещё раз Окей?": "question_mark_count"}),
+        ("one_c", {"мы ведём учёт в 1С каждый день": None, "мы ведём учёт в 1С и 1с": "wrong_one_c_spelling"}),
+        ("api", {"наш менеджер открыл API для каждого клиента": None, "наш менеджер открыл API для Telegram клиента": "other_protected_term_present", "мы вчера открыли API для всех людей": "business_context_missing", "клиент увидел котик и API вчера днём": "random_topic", "клиент открыл API": "sentence_fragment"}),
+        ("max", {"менеджер написал клиенту в Max сегодня утром": None, "менеджер увидел клиента и Max сегодня утром": "max_context_missing", "менеджер Максим написал клиенту в Max утром": "max_as_person_name", "сообщение клиента Max менеджер увидел утром": None, "это сообщени для клиента Max команда увидела": None}),
+    ],
+)
+def test_validators(spark, name, cases):
+    assert _reasons(spark, cases, V.VALIDATORS[name]) == list(cases.values())
 
 
 def test_dictation_is_wrapped(spark):
-    cases = spark.createDataFrame([("c1", "восемь, девять", "89", "extra"), ("c1", "восемь, девять", "89", "again"), ("c2", None, "1", ""), (None, "x", "2", "")], "case_id string, spoken string, phone_digits string, other string")
-    rows = spark.createDataFrame([(1, "c1", "Да: ВОСЕМЬ девять."), (2, "c1", "восемь, девять это 89"), (3, "c1", "нет"), (4, "c9", "x"), (5, None, "x"), (6, "c2", "x"), (7, "c1", None)], "i int, callback_anchor string, text string")
-    got = {r["i"]: r["reason"] for r in V.wraps_dictation(rows, cases).collect()}
+    cases = spark.createDataFrame([("c1", "восемь, семь", "87", 1, "extra"), ("c1", "восемь, девять", "89", 2, "again"), ("c2", None, "1", 3, ""), (None, "x", "2", 4, "")], "case_id string, spoken string, phone_digits string, case_order int, text string")
+    rows = spark.createDataFrame([(1, "c1", "Да: ВОСЕМЬ девять."), (2, "c1", "восемь, девять это 89"), (3, "c1", "нет, восемь, семь"), (4, "c9", "x"), (5, None, "x"), (6, "c2", "x"), (7, "c1", None)], "i int, callback_anchor string, text string")
+    out = V.wraps_dictation(rows, cases)
+    got = {r["i"]: r["reason"] for r in out.collect()}
     assert got == {1: None, 2: "canonical_digits_leaked", 3: "source_spoken_missing_or_changed", 4: "unknown_case", 5: "unknown_case", 6: "source_spoken_missing_or_changed", 7: "source_spoken_missing_or_changed"}
+    assert out.where("i = 1").first()["case"]["text"] == "again" and V.wraps_dictation(rows, cases.limit(0)).where("reason = 'unknown_case'").count() == 7

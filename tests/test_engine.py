@@ -104,7 +104,7 @@ def test_json_lines(spark, tmp_path):
     assert jsonl.read_tolerant(spark, path, "text string, n int").count() == 0 and jsonl.count_rows(spark, path) == 0
     with pytest.raises(FileNotFoundError):
         jsonl.read_strict(spark, path, "text string")
-    (tmp_path / "a.jsonl").write_text('{"text": "a", "n": 1}\n\n \nnot json\n[1]\n{"text": null}\n{"n": 2, "more": 1}\n', encoding="utf-8")
+    (tmp_path / "a.jsonl").write_text('{"text": "a", "n": 1}\n\n \nnot json\n[1]\n{"text": null, "n": "x"}\n{"n": 2, "more": 1}\n', encoding="utf-8")
     rows = jsonl.read_tolerant(spark, path, "text string, n int").collect()
     assert [(r["text"], r["n"]) for r in rows] == [("a", 1), (None, None), (None, 2)] and jsonl.count_rows(spark, path) == 5
     with pytest.raises(Exception):
@@ -114,6 +114,9 @@ def test_json_lines(spark, tmp_path):
     assert (tmp_path / "out" / "rule=r").exists() and jsonl.read_tolerant(spark, out, "text string").count() == 2
     jsonl.truncate(spark, out)
     assert not (tmp_path / "out").exists()
+    for n in (1, 2):
+        jsonl.write_report(spark, {"n": n}, str(tmp_path / "deep" / "report.json"))
+    assert json.loads((tmp_path / "deep" / "report.json").read_text()) == {"n": 2}
 
 
 def test_requests_and_replies():
@@ -188,7 +191,37 @@ def test_generation_run_and_resume(spark, tmp_path):
     assert len(texts) == one["accepted"] == len(set(texts)) and all(not any(c.isdigit() for c in t) for t in texts)
     assert rows.where("rule_id = 'one'").first()["meta"]["diversity"]["tone"][0] in "ab"
     again = gen.run()
-    assert again["rules"]["two"]["api_requests"] == 0 and gen._accepted().where("rule_id = 'two'").count() == 3
+    assert again["rules"]["two"]["api_requests"] == 0 and gen.dataset().count() == gen._accepted().count() == again["totals"]["accepted"]
+    assert (tmp_path / "out" / "per_rule" / "two.jsonl").exists() and gen._accepted().where("rule_id = 'two'").count() == 3
+
+
+def test_failures_are_in_the_report_while_it_runs(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text(CONFIG.replace("resume: true", "resume: false"))
+    project = load_project(str(tmp_path / "c.yaml"))
+    seen = []
+
+    def requests(prompts):
+        seen.append(json.loads((tmp_path / "out" / "report.json").read_text()))
+        reply = F.when(F.col("request_index") % 2 == 1, F.lit("no array"))
+        return prompts.select("rule_id", F.col("request_index").cast("int"), reply.alias("raw_text"), F.when(reply.isNull(), "boom").alias("error"))
+
+    report = Generator(spark, project, requests=requests).run()
+    one = report["rules"]["one"]
+    assert seen[0]["status"] == "running" and seen[1]["rules"]["one"]["api_requests"] == 2 and seen[1]["updated_at_unix"]
+    assert one["errors"] == {"api_error": 2} and one["rejected"] == {"parse_error": 2} and one["status"] == "empty_cycle_limit_reached"
+    assert {s["reason"]: s.get("raw_text") or s["error"] for s in one["rejection_samples"]} == {"api_error": "boom", "parse_error": "no array"}
+    assert report["status"] == "finished_with_incomplete_rules" and report["totals"]["accepted"] == 0
+
+
+def test_case_file(tmp_path, monkeypatch, spark):
+    from corpusmill.__main__ import build_cases, path_from
+
+    monkeypatch.setenv("CASES", str(tmp_path / "cases"))
+    assert build_cases(["--count", "3", "--output-env", "CASES"]) == 33
+    rows = jsonl.read_strict(spark, path_from("CASES"), "case_id string, blocks array<string>, expected_result string").collect()
+    assert len({r["case_id"] for r in rows}) == 33 and sum(r["expected_result"] is None for r in rows) == 15
+    with pytest.raises(RuntimeError):
+        path_from("NO_SUCH_NAME")
 
 
 def test_configuration_errors(tmp_path):
