@@ -73,7 +73,7 @@ def sketch(words: np.ndarray, longs: int = 2) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(picked, axis=1)).view(np.int64).reshape(len(words), longs)
 
 
-def most_differing(bits: int, threshold: float, sigmas: float = 3.7) -> int:
+def most_differing(bits: int, threshold: float, sigmas: float = 5.0) -> int:
     """Bits that two texts at the threshold differ in, with that many standard deviations of room."""
     p = (1 - threshold) / 2
     return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
