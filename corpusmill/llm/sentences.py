@@ -5,8 +5,8 @@
    units of their own.
 2. Gaps. In spaced scripts every terminator opens a small lattice of readings: abbreviation, initial, ordinal,
    number, address, quoted speech, trailing off, or end. What stands before and after decides. In scripts without
-   spaces or terminators a dictionary word lattice gives the last word before and the first word after a gap;
-   the gap is a boundary if the first is a final particle, unless the second can't open a sentence.
+   spaces a word lattice over the corpus's own vocabulary gives the last word before and the first word after a gap;
+   the gap is a boundary if the first is a closing particle, unless the second joins what follows to it.
 3. Closing quotes, brackets and emoji go to the sentence before them; terminators inside quotes or brackets that are
    closed in the same unit don't end a sentence, except at the end of quoted speech that a colon introduced.
 
@@ -15,7 +15,9 @@ Offsets count code points. Null, empty and blank texts have no sentences. Texts
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+
 # Abbreviations that a name or number follows, so they never end a sentence.
 OPEN_ABBREVIATIONS = set(
     "mr mrs ms dr prof st no vs sec cf approx fig ver vol mt sr jr rev gen "
@@ -47,40 +51,62 @@ END_ABBREVIATIONS = set(
 )
 #: Of the above, those that always go on.
 NEVER_END = set("e.g i.e d.h z.b c.-à-d т.е т.к т.н т.з т.ч е".split())
-#: Thai final particles, words that join, and common words of the word lattice.
-THAI_FINAL = ["ครับ", "ค่ะ", "คะ", "นะครับ", "นะคะ", "จ้ะ", "ฮะ"]
-THAI_JOIN = ["และ", "หรือ", "แต่", "ที่", "ซึ่ง", "ว่า", "เพราะ"]
-THAI_WORDS = ["ใคร", "คุณ", "ชุด", "ข้อมูล", "ใหม่", "นี้", "มี", "รายการ", "ถูก", "ปฏิเสธ", "หน้าต่าง", "ว่าง", "อีก", "แล้ว", "หรือ", "กรุณา", "บอก", "หมายเลข", "ครั้ง", "เจ้าหน้าที่", "โทร", "กลับ", "เวลา", "ผ่าน", "การ", "ตรวจ", "ทั้งหมด", "เวอร์ชัน", "แก้", "ปัญหา", "ข้อความ", "ขาด", "ดูแล", "คิว", "ของ", "ฝาก", "เบอร์", "ไว้", "กับ", "ผู้ช่วย", "ลูกค้า", "พูด", "รอ", "สักครู่", "ถาม", "จะ", "ให้", "ไม่", "ได้", "เป็น", "ใน", "มา", "ไป", "นะ"]
+# By script, particles and endings that close a sentence, words that join what follows to it, and words that open one.
+FINALS = {
+    "thai": "ครับ ค่ะ คะ นะครับ นะคะ จ้ะ จ้า ฮะ นะ สิ".split(),
+    "lao": "ຄັບ ເຈົ້າ ເດີ ແດ່ ບໍ ນໍ".split(),
+    "khmer": "ទេ ណា៎ បាទ ចាស ហើយ".split(),
+    "burmese": "တယ် ပါတယ် မယ် ပါမယ် ပြီ ပါပြီ လား သလား ဘူး ပါ".split(),
+    "cjk": "吗 呢 吧 啊 呀 嘛 了 です ます でした ました ません ください ですか ますか ましょう でしょう ですね ますね ですよ だ".split(),
+}
+JOINS = {
+    "thai": "และ หรือ แต่ ที่ ซึ่ง ว่า เพราะ".split(),
+    "lao": "ແລະ ຫຼື ແຕ່ ທີ່ ວ່າ ເພາະ".split(),
+    "khmer": "និង ឬ ប៉ុន្តែ ដែល ថា ព្រោះ".split(),
+    "burmese": "နှင့် သို့မဟုတ် ဒါပေမယ့် လို့ ဆိုတာ".split(),
+    "cjk": "和 或 但 的 と が けど から ので って".split(),
+}
+OPENERS = {"cjk": "请 我们 我 你 您 他 她 这 那 然后 但是 所以 如果 现在 因为 不过 另外 次に それ これ では はい いいえ また そして 私 もう なお ただし お 番号 今".split()}
+#: Length of the longest word of the vocabulary, how often a word must be seen for each character of the corpus, and how many words are kept.
+LONGEST_WORD, LEAST_SHARE, VOCABULARY = 6, 2e-5, 50_000
+#: How much more often the parts of a word meet than by chance.
+COHESION = 20.0
 
 _OPEN, _CLOSE = "«“‘„([{「『（【〈《‹", "»”’“)]}」』）】〉》›"
 _PAIR = {"«": "»", "“": "”", "„": "“”", "(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "‹": "›"}
 _EMOJI = r"[\U0001F000-\U0001FAFF☀-➿⬀-⯿⌀-⏿️‍⃣]"
-_END = re.compile(r"[.!?…。！？｡։।॥؟۔;;]+")
+_END = re.compile(r"[.!?…。！？｡։।॥؟۔;;៕។။།༎።፧‼⁇⁈⁉]+")
 _EMOJI_TAIL = re.compile(rf"(?:[ \t\u00a0]*{_EMOJI}+)*")
+_ONE_EMOJI = re.compile(_EMOJI)
 _ONLY_EMOJI = re.compile(rf"(?:{_EMOJI}+[ \t ]*)+")
 _MARKER = re.compile(r"[ \t ]*(?:[-*•‣◦·▪]|\d{1,3}[.)]|[a-zа-я][)]|\(\d{1,3}\)|[①-⑳])[ \t ]+\S")
 _SPEAKER = re.compile(r"[ \t ]*(?:\[[^\[\]\n]{1,30}\]|[^\W\d_][^\s:：.,!?«\"(。！？，、…“”„「」『』（）؟।։;；]{0,24}(?:[ \t][^\W\d_][^\s:：.,!?«\"(。！？，、…“”„「」『』（）؟।։;；]{0,20}){0,1}\.?[:：]|[^\W\d_]\.?[:：]|[–—])(?=\s|[^\x00-˿/\d])")
 _HARD_END = re.compile(rf"[.!?…。！？｡։।॥؟۔;;][\"»”’“'\)\]\}}」』）】〉》›*_]*(?:\s*{_EMOJI}+)*\s*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
-_THAI = re.compile(r"[฀-๿]")
+_UNSPACED = {"thai": "\u0e00-\u0e7f", "lao": "\u0e80-\u0eff", "khmer": "\u1780-\u17ff\u19e0-\u19ff", "burmese": "\u1000-\u109f", "cjk": "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"}
+_RUN = re.compile("|".join(f"(?P<{name}>[{body}]+)" for name, body in _UNSPACED.items()))
+_SPACELESS = re.compile("[" + "".join(_UNSPACED.values()) + "]")
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_]+[-'’.]+)*[^\W_]*[^\W\d_][̀-ͯऀ-ॿ]*$")
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 
 
 class WordLattice:
-    """Cheapest path through the dictionary words of a run; an unknown character costs more than a word."""
+    """Cheapest path through the words of a run: each word costs its rarity, an unknown character more than any word."""
 
-    def __init__(self, words: list[str]):
-        self.words = set(words)
-        self.longest = max(map(len, words))
+    def __init__(self, costs: dict[str, float] | None = None):
+        known = {w: 3.0 for table in (FINALS, JOINS, OPENERS) for words in table.values() for w in words}
+        self.costs = {w: min(c, known.get(w, c)) for w, c in {**known, **(costs or {})}.items()}
+        self.unknown = 1.0 + max(self.costs.values())
+        self.longest = max(map(len, self.costs))
 
     def cut(self, run: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(run) + 1):
-            options = [(best[end - 1][0] + 1.6, end - 1)]
+            options = [(best[end - 1][0] + self.unknown, end - 1)]
             for start in range(max(0, end - self.longest), end):
-                if run[start:end] in self.words:
-                    options.append((best[start][0] + 1.0, start))
+                cost = self.costs.get(run[start:end])
+                if cost is not None:
+                    options.append((best[start][0] + cost, start))
             best.append(min(options))
         out, end = [], len(run)
         while end:
@@ -90,7 +116,43 @@ class WordLattice:
         return out[::-1]
 
 
-_THAI_LATTICE = WordLattice(THAI_FINAL + THAI_JOIN + THAI_WORDS)
+_PLAIN_LATTICE = WordLattice()
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: Counter[str] = Counter()
+        for text in batch.column(0).to_pylist():
+            if text and _SPACELESS.search(text):
+                for m in _RUN.finditer(text):
+                    run = m.group(0)
+                    for n in range(1, LONGEST_WORD + 1):
+                        seen.update(run[i : i + n] for i in range(len(run) - n + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+
+def vocabulary(df: DataFrame, text_col: str) -> dict[str, float]:
+    """Words of the scripts without spaces, from all texts of the corpus, each with its cost (its rarity in nats).
+
+    A word is a run of up to LONGEST_WORD characters whose parts meet COHESION times more often than by chance, and
+    that is not nearly always part of one longer run. Counts are combined in the workers; runs seen less often than
+    LEAST_SHARE of all characters are no words, so at most LONGEST_WORD / LEAST_SHARE runs exist, of which VOCABULARY are read.
+    """
+    counts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_substrings, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "substrings")
+    total = counts.where("char_length(word) = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where(F.col("n") >= max(3, int(total * LEAST_SHARE))).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    held = {r["word"]: r["n"] for r in rows}
+    longer: dict[str, int] = {}
+    for w, n in held.items():
+        for part in (w[1:], w[:-1]):
+            longer[part] = max(longer.get(part, 0), n)
+    out = {}
+    for w, n in held.items():
+        tight = all(n * total >= COHESION * held[w[:i]] * held[w[i:]] for i in range(1, len(w)) if w[:i] in held and w[i:] in held)
+        if len(w) == 1 or (tight and longer.get(w, 0) < 0.9 * n):
+            out[w] = math.log(total / n)
+    return out
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -106,7 +168,7 @@ def _first_word(line: str) -> int:
     line = line.lstrip()
     if not line:
         return 0
-    if _CJK.match(line) or _THAI.match(line):
+    if _SPACELESS.match(line):
         return 1
     return len(line.split(None, 1)[0])
 
@@ -189,8 +251,6 @@ def _openers(text: str, a: int, b: int) -> tuple[list[int], set[int]]:
                     spans.append((at, i))
                     break
     for s, e in sorted(spans, key=lambda x: x[0] - x[1]):
-        if e - s > 600:
-            continue
         for i in range(s, e + 1):
             if state[i - a] < 0:
                 state[i - a] = s
@@ -237,7 +297,7 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], cl
         if lead[-1:] in ":：,،" or word.isupper() or word.isdigit() or not word.isalpha():
             return end
         return end if lead[-1:] in ":：" else -1
-    if "。" in mark or "！" in mark or "？" in mark or "｡" in mark or mark[0] in "։।॥۔":
+    if any(c in mark for c in "。！？｡") or mark[0] in "։।॥۔៕។။།༎።፧‼⁇⁈⁉":
         return -1 if nxt in "，、,—–" else end
     if mark[0] in "!?؟" or (mark[-1] in "!?؟" and mark[0] != "."):
         if nxt in ",;—–-" or word.islower():
@@ -314,32 +374,62 @@ def _boundary(text: str, a: int, b: int, m: re.Match[str], inside: list[int], cl
     return end
 
 
-_ENGLISH_OPENERS = set("The A An It He She They We You I In On At This That These Those Is Are Was Were Did Do Does Please Who What When Where Why How Well Okay No Yes Names Agent Version Approx See Rejected Mr. Ms. Dr. Mrs.".split())
+_ENGLISH_OPENERS = set("The A An It He She They We You I In On At This That These Those Is Are Was Were Did Do Does Please Who What When Where Why How Well Okay No Yes Mr. Ms. Dr. Mrs.".split())
 #: Units that end a sentence when they follow a number and a capital follows them.
 _UNITS = set("sec sek min ms s h с сек мин ч г гг руб коп тыс млн млрд шт кг км м см т грн хв р год seg km kg cm mm m g l t".split())
 #: Nouns that a German ordinal stands before.
 _GERMAN_ORDINAL_NOUNS = set("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Charge Stapel Block Lauf Satz Abschnitt Tag Woche Monat Jahr Mal Version Regel".split())
 
 
-def _thai_gaps(text: str, a: int, b: int) -> list[int]:
+def _script(m: re.Match[str]) -> str:
+    return m.lastgroup or ""
+
+
+_GAP = re.compile(r"[  \u3000\t]+|\r?\n\s*")
+_BEFORE_GAP = "\"”'.!?…)»"
+
+
+def _particle_gaps(text: str, a: int, b: int, lattice: WordLattice) -> list[int]:
+    """Ends of sentences in text[a:b] that no terminator marks, in scripts without spaces.
+
+    At a space: the word before it closes a sentence, and the word after it joins nothing to it. Where a stretch of
+    Chinese or Japanese has no terminator at all: inside a run too, if a closing word is followed by an opening one.
+    """
+    runs = list(_RUN.finditer(text, a, b))
+    words = {m.start(): (_script(m), lattice.cut(m.group(0))) for m in runs}
+    ends = {m.end(): m.start() for m in runs}
     out = []
-    for m in re.finditer(r"[  \t]+|\r?\n\s*", text[a:b]):
-        left, right = text[a : a + m.start()], text[a + m.end() : b]
-        run = re.search(r"[฀-๿]+$", re.sub(rf"(?:\s*{_EMOJI}+)+$", "", left).rstrip("\"”'.!?…)»"))
-        if not run or not right:
+    for m in _GAP.finditer(text, a, b):
+        at = m.start()
+        while at > a and (text[at - 1] in _BEFORE_GAP or text[at - 1].isspace() or _ONE_EMOJI.match(text[at - 1])):
+            at -= 1
+        if at not in ends or m.end() >= b:
             continue
-        if _THAI_LATTICE.cut(run.group(0)[-24:])[-1] not in THAI_FINAL:
+        script, before = words[ends[at]]
+        if not _closes(before, FINALS[script]):
             continue
-        first = re.match(r"[฀-๿]+", right)
-        if first and _THAI_LATTICE.cut(first.group(0)[:24])[0] in THAI_JOIN:
+        if m.end() in words and words[m.end()][1][0] in JOINS[words[m.end()][0]]:
             continue
-        if _ONLY_EMOJI.match(right):
-            continue
-        out.append(a + m.start())
+        if not _ONLY_EMOJI.match(text, m.end(), b):
+            out.append(m.start())
+    if not _END.search(text, a, b):
+        for m in runs:
+            script, parts = words[m.start()]
+            if script in OPENERS:
+                at = m.start()
+                for i, (x, y) in enumerate(zip(parts, parts[1:])):
+                    at += len(x)
+                    if x in FINALS[script] and y in OPENERS[script]:
+                        out.append(at)
     return out
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def _closes(words: list[str], finals: list[str]) -> bool:
+    """The last word is a closing one, or a word of the vocabulary that ends in one of two characters or more."""
+    return words[-1] in finals or any(len(f) > 1 and words[-1].endswith(f) for f in finals)
+
+
+def sentences(text: str | None, lattice: WordLattice = _PLAIN_LATTICE) -> list[tuple[int, int]]:
     """(start, end) of each sentence, trimmed of white space."""
     if not text or not text.strip():
         return []
@@ -351,8 +441,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         inside, closing = _openers(text, a, b)
         label = _SPEAKER.match(text, a, b)
         begin = a
-        thai = bool(_THAI.search(text, a, b))
-        cuts = set(c for c in (_thai_gaps(text, a, b) if thai else []) if inside[c - a] < 0)
+        cuts = {c for c in (_particle_gaps(text, a, b, lattice) if _SPACELESS.search(text, a, b) else []) if inside[c - a] < 0}
         at = label.end() if label else a
         ends: list[int] = sorted(cuts)
         for m in _END.finditer(text, at, b):
@@ -380,19 +469,26 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            ids, starts, ends = [], [], []
-            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for s, e in sentences(text):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(starts, np.int32)), pa.array(np.array(ends, np.int32))], names=["id", "start_char", "end_char"])
+def _mapper(lattice: WordLattice):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, starts, ends = [], [], []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for s, e in sentences(text, lattice):
+                        ids.append(i)
+                        starts.append(s)
+                        ends.append(e)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(starts, np.int32)), pa.array(np.array(ends, np.int32))], names=["id", "start_char", "end_char"])
+
+    return run
 
 
 def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start_char, end_char), a row for each sentence of each text; one pass without a shuffle."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_mapper, "id long, start_char int, end_char int")
+    """(id, start_char, end_char), a row for each sentence of each text.
+
+    One pass counts the vocabulary of the scripts without spaces, one splits; only the counts are shuffled.
+    """
+    lattice = WordLattice(vocabulary(df, text_col))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_mapper(lattice), "id long, start_char int, end_char int")

@@ -6,7 +6,7 @@ import pytest
 
 from corpusmill.llm import pair_defects as D
 from corpusmill.llm.queries import p1_found, p3_found
-from corpusmill.llm.sentences import WordLattice, sentences, split_sentences
+from corpusmill.llm.sentences import WordLattice, sentences, split_sentences, vocabulary
 from corpusmill.llm.truncation import open_format, truncation, truncation_by_source
 
 SUBJECTS = ["The courier", "Our manager", "The client", "A neighbour", "The operator"]
@@ -139,7 +139,37 @@ def test_thai_gaps_and_lattice():
     parts = ["เวอร์ชัน 1.3.14 แก้ปัญหาข้อความขาดแล้วครับ", "หน้าต่าง QD-72474 ว่างอีกแล้วหรือครับ", "ใครดูแลคิวของมารินคะ"]
     text = " ".join(parts)
     assert [text[a:b] for a, b in sentences(text)] == parts
-    assert WordLattice(["ab", "abc", "d"]).cut("abcd") == ["abc", "d"]
+    assert WordLattice({"ab": 1.0, "abc": 1.0, "d": 1.0}).cut("abcd") == ["abc", "d"]
+    # runs far longer than a word on both sides of a gap
+    long = ["ก" * 500 + "ครับ", "ข" * 500 + "ค่ะ"]
+    assert [" ".join(long)[a:b] for a, b in sentences(" ".join(long))] == long
+
+
+@pytest.mark.parametrize("parts", [
+    ["ຂ້ອຍໄດ້ຮັບແລ້ວເຈົ້າ", "ໝາຍເລກຫຍັງບໍ"],
+    ["ខ្ញុំបានទទួលហើយ។", "តើលេខអ្វី?"],
+    ["ကျွန်တော်လက်ခံရရှိပြီ။", "နံပါတ်ဘယ်လောက်လဲ။"],
+    ["我收到了号码吗", "请再说一次"],
+    ["番号を確認しました", "次に名前をお願いします"],
+])
+def test_scripts_without_spaces(parts):
+    text = ("" if parts[0][-1] in "吗た" else " ").join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_a_quotation_of_any_length_stays_in_its_sentence():
+    for n in (20, 50, 400):
+        text = "Он ответил: «" + "Да. Нет. Потом. " * n + "Всё» и ушёл. Потом вернулся."
+        assert [text[a:b] for a, b in sentences(text)] == [text[: text.index(" Потом вернулся")], "Потом вернулся."]
+
+
+def test_vocabulary_is_of_the_corpus(spark):
+    rng = random.Random(1)
+    kana = lambda: "".join(chr(rng.randrange(0x3041, 0x3097)) for _ in range(30))
+    df = spark.createDataFrame([(kana() + "電話番号" + kana(),) for _ in range(50)] + [(None,), ("only latin",)], "t string")
+    words = vocabulary(df, "t")
+    assert "電話番号" in words and "話番" not in words and not any(w.isascii() for w in words)
+    assert vocabulary(df.limit(0), "t") == {}
 
 
 def test_layouts():
