@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut
+from ..plans.scratch import cut, new_path
 
 COMMON = 0.002
 #: Occurrences that the share of a run's shorter end counts for.
@@ -59,21 +59,23 @@ def open_format(text: str) -> bool:
     return bool(re.search(r"</?a?n?s?w?e?r?$", low)) and "<answer>" in low
 
 
-def _walk(text: str) -> list[tuple[str, str]]:
-    """(token, how it ends) of each word, number and inner mark: I inside, F full stop or line end, L trailing off, T the text's bare end."""
-    out: list[tuple[str, str]] = []
+def _walk(text: str) -> tuple[list[str], list[str]]:
+    """Words, numbers and inner marks, and how each ends: I inside, F full stop or line end, L trailing off, T the text's bare end."""
+    tokens: list[str] = []
+    hows: list[str] = []
     for t in _TOKEN.findall(_clean(text)):
         if t in _FULL or t == "\n":
-            if out and out[-1][1] == "I":
-                out[-1] = (out[-1][0], "F")
+            if hows and hows[-1] == "I":
+                hows[-1] = "F"
         elif t in _LONG:
-            if out and out[-1][1] == "I":
-                out[-1] = (out[-1][0], "L")
+            if hows and hows[-1] == "I":
+                hows[-1] = "L"
         elif t not in _QUOTES:
-            out.append((t.lower(), "I"))
-    if out and out[-1][1] == "I":
-        out[-1] = (out[-1][0], "T")
-    return out
+            tokens.append(t.lower())
+            hows.append("I")
+    if hows and hows[-1] == "I":
+        hows[-1] = "T"
+    return tokens, hows
 
 
 def _mask(token: str, common: frozenset[str]) -> str:
@@ -82,40 +84,56 @@ def _mask(token: str, common: frozenset[str]) -> str:
     return token if token in common or not token[0].isalpha() else "*"
 
 
-def _runs(walked: list[tuple[str, str]], common: frozenset[str]) -> Iterator[tuple[str, str]]:
-    """(masked run of one to four tokens within a sentence, how it ends)."""
-    z = a = b = "^"
-    for token, how in walked:
-        c = _mask(token, common)
-        yield c, how
-        yield f"{b} {c}", how
-        yield f"{a} {b} {c}", how
-        yield f"{z} {a} {b} {c}", how
-        z, a, b = (a, b, c) if how == "I" else ("^", "^", "^")
+_SEP = "\x1f"
+_APPENDED = re.compile(r"[.!?。！？｡।։؟;][\"'»”’“`)\]}>\s]*$")
+_WRAPPED_END = re.compile(r"(```|</answer>)\s*$", re.I)
+_WALKED = (
+    "kind int, table_name string, id long, source string, chars int, bytes int, tokens string, hows string, last array<string>, how string, broken boolean, open boolean, word string, n long, inner long"
+)
+RECORD, WORD = 0, 1
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The only pass over the texts: a row of tokens for each record, and each batch's vocabulary with its counts."""
     for batch in batches:
+        rows: list[tuple] = []
         seen: Counter[str] = Counter()
         inner: Counter[str] = Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                walked = _walk(text)
-                seen.update({t for t, _ in walked if t[0].isalpha()})
-                inner.update({t for t, _ in walked[:-1] if t[0].isalpha()})
-                if walked and walked[-1][1] == "F" and walked[-1][0][0].isalpha() and walked[-1][0] not in {t for t, _ in walked[:-1]}:
-                    inner[walked[-1][0]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([inner[w] for w in seen], pa.int64())], names=["word", "n", "inner"])
+        for name, i, source, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if not text:
+                continue
+            tokens, hows = _walk(text)
+            if not tokens:
+                continue
+            words, before = {t for t in tokens if t[0].isalpha()}, {t for t in tokens[:-1] if t[0].isalpha()}
+            seen.update(words)
+            inner.update(before)
+            final, how = tokens[-1], hows[-1]
+            if how == "F" and final[0].isalpha() and final not in before:
+                inner[final] += 1
+            last = None
+            if any(t[0].isalnum() for t in tokens):
+                start = max((k + 1 for k in range(len(tokens) - 1) if hows[k] != "I"), default=0)
+                last = (["^"] * 4 + tokens[start:])[-4:]
+                if how == "F" and not _APPENDED.search(_WRAPPED_END.sub("", text.rstrip())):
+                    how = "T"
+            tail = text.rstrip().rstrip("\"'`]})…. ")
+            rows.append((RECORD, name, i, source, len(text), len(text.encode("utf-8", "surrogatepass")), _SEP.join(tokens), "".join(hows), last, how, tail.endswith("�"), open_format(text), None, None, None))
+        none = (None,) * 11
+        rows.extend((WORD, *none, w, n, inner[w]) for w, n in seen.items())
+        cols = list(zip(*rows)) or [()] * 15
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _WALKED.split(", ")])
 
 
 #: Distinct masked tokens that one block of texts may hold; four of their numbers make a key of 60 bits.
 _MOST = 1 << 15
 
 
-def _block_runs(ids: list[int], hows: list[str], names: list[str]) -> pa.RecordBatch:
+def _block_runs(ids: list[int], hows: str, names: list[str]) -> pa.RecordBatch:
     """Runs of one to four tokens of a block: occurrences, ends and trailing ends, counted by sorted integer keys."""
-    token, how = np.array(ids, np.int64), np.array(hows)
-    end = how != "I"
+    token, how = np.array(ids, np.int64), np.frombuffer(hows.encode(), np.uint8)
+    end = how != ord("I")
     begin = np.r_[True, end[:-1]]
     place = np.arange(len(token)) - np.maximum.accumulate(np.where(begin, np.arange(len(token)), 0))
     key, cols = token.copy(), ([], [], [], [])
@@ -126,7 +144,7 @@ def _block_runs(ids: list[int], hows: list[str], names: list[str]) -> pa.RecordB
         found, at = np.unique(key, return_inverse=True)
         digits = [(found >> (15 * j)) & (_MOST - 1) for j in range(k - 1, -1, -1)]
         cols[0].extend(" ".join(names[i] for i in row) for row in zip(*(d.tolist() for d in digits)))
-        for c, weight in zip(cols[1:], (None, end, how == "L")):
+        for c, weight in zip(cols[1:], (None, end, how == ord("L"))):
             c.append(np.bincount(at, weight, len(found)).astype(np.int64))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(np.concatenate(c)) for c in cols[1:])], names=["run", "n", "ends", "trails"])
 
@@ -134,47 +152,37 @@ def _block_runs(ids: list[int], hows: list[str], names: list[str]) -> pa.RecordB
 def _count_runs(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, ids, hows = {"^": 0}, [], []
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                for token, how in _walk(text):
-                    ids.append(number.setdefault(_mask(token, common), len(number)))
-                    hows.append(how)
-                if len(number) > _MOST - 5000 and ids:
-                    yield _block_runs(ids, hows, list(number))
-                    number, ids, hows = {"^": 0}, [], []
+            number: dict[str, int] = {"^": 0}
+            known: dict[str, int] = {}
+            ids: list[int] = []
+            hows: list[str] = []
+            for tokens, how in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = tokens.split(_SEP)
+                for t in own:
+                    if t not in known:
+                        known[t] = number.setdefault(_mask(t, common), len(number))
+                ids.extend([known[t] for t in own])
+                hows.append(how)
+                if len(number) > _MOST - 5000:
+                    yield _block_runs(ids, "".join(hows), list(number))
+                    number, known, ids, hows = {"^": 0}, {}, [], []
             if ids:
-                yield _block_runs(ids, hows, list(number))
+                yield _block_runs(ids, "".join(hows), list(number))
 
     return run
 
 
-_LAST = "table_name string, id long, source string, chars int, bytes int, token string, how string, run1 string, run2 string, run3 string, run4 string, broken boolean, open boolean"
+_LAST = "table_name string, id long, source string, chars int, bytes int, token string, how string, broken boolean, open boolean, run1 string, run2 string, run3 string, run4 string"
+
 
+def _last_runs(common: frozenset[str]):
+    """Each record with its masked last runs of one to four tokens instead of ``last``."""
 
-def _last(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for name, i, source, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if not text or not text.strip():
-                    continue
-                walked = _walk(text)
-                tail = text.rstrip().rstrip("\"'`]})…. ")
-                if not walked:
-                    continue
-                if not any(t[0].isalnum() for t, _ in walked):
-                    continue
-                start = max((k + 1 for k in range(len(walked) - 1) if walked[k][1] != "I"), default=0)
-                *_, r1, r2, r3, r4 = (r for r, _ in _runs(walked[start:], common))
-                how = walked[-1][1]
-                if how == "F" and not re.search(r"[.!?。！？｡।։؟;][\"'»”’“`)\]}>\s]*$", re.sub(r"(```|</answer>)\s*$", "", text.rstrip(), flags=re.I)):
-                    how = "T"
-                rows.append((name, i, source, len(text), len(text.encode("utf-8", "surrogatepass")), walked[-1][0], how, r1, r2, r3, r4, tail.endswith("�"), open_format(text)))
-            cols = list(zip(*rows)) or [()] * 13
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _LAST.split(", ")])
+            masked = [[t if t == "^" else _mask(t, common) for t in last] for last in batch.column(9).to_pylist()]
+            runs = [pa.array([" ".join(m[4 - k :]) for m in masked], pa.string()) for k in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:9], *runs], names=[c.split()[0] for c in _LAST.split(", ")])
 
     return run
 
@@ -186,13 +194,18 @@ def truncation(records: DataFrame) -> DataFrame:
     sentence, or null where the text is whole. Repeated records count by themselves. An empty table gives no rows.
     """
     rows = records.select("table_name", F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), "text")
-    vocabulary = cut(rows.select("text").mapInArrow(_vocabulary, "word string, n long, inner long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")), "vocabulary")
+    path = new_path(records.sparkSession, "walked")
+    rows.mapInArrow(_walked, _WALKED).write.partitionBy("kind").parquet(path)
+    walked = records.sparkSession.read.schema(_WALKED).parquet(path)
+    vocabulary = cut(walked.where(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")), "vocabulary")
+    held = walked.where(F.col("kind") == RECORD)
     total = rows.where("text IS NOT NULL").count()
     least = max(4, int(total * COMMON))
     common = frozenset(r["word"] for r in vocabulary.where(F.col("n") >= least).collect())  # bounded: see the module's text
-    last = cut(rows.mapInArrow(_last(common), _LAST), "last")
+    judged = held.where("last IS NOT NULL").select("table_name", "id", "source", "chars", "bytes", F.element_at("last", -1).alias("token"), "how", "broken", "open", "last")
+    last = cut(judged.mapInArrow(_last_runs(common), _LAST), "last")
     wanted = last.select(F.explode(F.array("run1", "run2", "run3", "run4")).alias("run")).distinct()
-    runs = rows.select("text").mapInArrow(_count_runs(common), "run string, n long, ends long, trails long").groupBy("run").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "trails")))
+    runs = held.select("tokens", "hows").mapInArrow(_count_runs(common), "run string, n long, ends long, trails long").groupBy("run").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "trails")))
     runs = cut(runs.join(wanted, "run", "left_semi"), "runs")
 
     # the trie: all proper prefixes of words that two records or more hold
