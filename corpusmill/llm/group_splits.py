@@ -21,7 +21,8 @@ from ..plans.scratch import cut
 
 #: Case numbers follow the ten-digit phone numbers in the space of nodes.
 CASE_BASE = 10**11
-RANK_BUCKETS = 1024
+#: Groups of one bundle that are ranked in one task, about.
+RANKED = 20_000
 
 
 def phone_number(text: Column) -> Column:
@@ -48,21 +49,6 @@ def key_groups(rows: DataFrame) -> DataFrame:
     return linked.union(single.select("node", F.col("node").alias("label")))
 
 
-def mixed_groups(df: DataFrame, id_col: str = "variant_id", phone_col: str = "phone_digits", case_col: str = "case_id") -> DataFrame:
-    """(id, group_phone) of the records of groups with more than one number or more than one case number.
-
-    group_phone is the group's smallest number as 11 digits with a leading 8. A record with neither key is in no
-    group; repeated records count by themselves; an empty table gives an empty result.
-    """
-    rows = keyed(df, id_col, phone_col, case_col)
-    pairs = cut(rows.where("phone IS NOT NULL AND case IS NOT NULL").groupBy("phone", "case").agg(F.count("*").alias("n")), "keys")
-    labels = cut(components(pairs.select("phone", "case")), "labels")
-    is_case = F.col("node") >= CASE_BASE
-    mixed = labels.groupBy("label").agg(F.sum(F.when(is_case, 0).otherwise(1)).alias("phones"), F.sum(F.when(is_case, 1).otherwise(0)).alias("cases")).where("phones > 1 OR cases > 1")
-    nodes = labels.join(mixed, "label").select("node", F.format_string("8%010d", "label").alias("group_phone"))
-    return rows.select("id", F.coalesce("phone", "case").alias("node")).where("node IS NOT NULL").join(nodes, "node").select("id", "group_phone")
-
-
 class _Flow:
     """Min-cost flow by successive shortest paths (queue-based, arcs in lists)."""
 
@@ -155,21 +141,25 @@ def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float]) -> d
 
 
 def group_splits(df: DataFrame, quota: DataFrame, id_col: str = "variant_id", phone_col: str = "phone_digits", case_col: str = "case_id", label_col: str = "kind") -> DataFrame:
-    """(id, group_key, split_name) of every record; all records of a group are in one split.
+    """(id, group_key, split_name, phones, cases) of every record; all records of a group are in one split.
 
-    A record with neither key is its own group (group_key null). The label profile of a group is its commonest value
-    of ``label_col`` (trimmed, lower case, null as ''), ties to the smaller. ``quota`` has (split_name, share) and is
-    a handful of rows; without rows there is no split and ValueError is raised. An empty table gives an empty result.
+    phones and cases are the group's distinct numbers and case numbers. A record with neither key is its own group
+    (group_key null). The label profile of a group is its commonest value of ``label_col`` (trimmed, lower case, null as
+    ''), ties to the smaller. ``quota`` has (split_name, share) and is a handful of rows; without rows there is no split
+    and ValueError is raised. Repeated records count by themselves; an empty table gives an empty result.
     """
     shares = {r["split_name"]: float(r["share"]) for r in quota.select("split_name", "share").collect() if r["split_name"] is not None and (r["share"] or 0) > 0}
     if not shares:
         raise ValueError("no split has a positive share")
     rows = keyed(df, id_col, phone_col, case_col, F.coalesce(F.lower(F.trim(label_col)), F.lit("")).alias("kind")).withColumn("node", F.coalesce("phone", "case"))
-    nodes = key_groups(rows)
+    nodes = cut(key_groups(rows), "nodes")
     key = F.coalesce(F.col("label"), -F.col("id") - 1)
     counts = rows.groupBy("node", "kind", F.when(F.col("node").isNull(), F.col("id")).alias("id")).agg(F.count("*").alias("n"))
     per_kind = counts.join(nodes, "node", "left").groupBy(key.alias("g"), "kind").agg(F.sum("n").alias("n"))
-    groups = cut(per_kind.groupBy("g").agg(F.sum("n").alias("size"), F.max_by("kind", F.struct("n", -F.xxhash64("kind"))).alias("profile")).withColumn("h", F.xxhash64("g")), "groups")
+    is_case = F.col("node") >= CASE_BASE
+    keys = nodes.groupBy(F.col("label").alias("g")).agg(F.sum(F.when(is_case, 0).otherwise(1)).alias("phones"), F.sum(F.when(is_case, 1).otherwise(0)).alias("cases"))
+    sizes = per_kind.groupBy("g").agg(F.sum("n").alias("size"), F.max_by("kind", F.struct("n", -F.xxhash64("kind"))).alias("profile"))
+    groups = cut(sizes.join(keys, "g", "left").na.fill(0, ["phones", "cases"]).withColumn("h", F.xxhash64("g")), "groups")
     bundles = [(r["size"], r["profile"], r["n"]) for r in groups.groupBy("size", "profile").agg(F.count("*").alias("n")).collect()]
     dealt = allocate(bundles, shares)
     spans = []
@@ -181,10 +171,29 @@ def group_splits(df: DataFrame, quota: DataFrame, id_col: str = "variant_id", ph
                 at += n
     spark = df.sparkSession
     span = spark.createDataFrame(spans or [(0, "", 0, 0, "")], "size long, profile string, lo long, hi long, split_name string")
-    bucket = F.pmod(F.col("h"), F.lit(RANK_BUCKETS))
+    bucket = F.pmod(F.col("h"), F.lit(1 + max((n for _, _, n in bundles), default=0) // RANKED))
     per_bucket = groups.groupBy("size", "profile", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     before = per_bucket.withColumn("offset", F.sum("n").over(Window.partitionBy("size", "profile").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["offset"]).drop("n")
     ranked = groups.withColumn("bucket", bucket).withColumn("r", F.row_number().over(Window.partitionBy("size", "profile", "bucket").orderBy("h", "g")) - 1)
     ranked = ranked.join(before, ["size", "profile", "bucket"]).withColumn("r", F.col("r") + F.col("offset"))
-    split = ranked.join(span, ["size", "profile"]).where("r >= lo AND r < hi").select("g", "split_name")
-    return rows.select("id", "node").join(nodes, "node", "left").select("id", F.col("label").alias("group_key"), key.alias("g")).join(split, "g").select("id", "group_key", "split_name")
+    split = ranked.join(span, ["size", "profile"]).where("r >= lo AND r < hi").select("g", "split_name", "phones", "cases")
+    return rows.select("id", "node").join(nodes, "node", "left").select("id", F.col("label").alias("group_key"), key.alias("g")).join(split, "g").select("id", "group_key", "split_name", "phones", "cases")
+
+
+def mixed_groups(allocated: DataFrame) -> DataFrame:
+    """(id, group_phone) of the allocated records (group_splits) whose group has more than one number or more than one case number.
+
+    group_phone is the group's smallest number as 11 digits with a leading 8; null where a group has case numbers only,
+    of which one alone is never mixed.
+    """
+    phone = F.when(F.col("group_key") < CASE_BASE, F.format_string("8%010d", "group_key"))
+    return allocated.where("phones > 1 OR cases > 1").select("id", phone.alias("group_phone"))
+
+
+def split_deviation(allocated: DataFrame, quota: DataFrame) -> DataFrame:
+    """(split_name, records, wanted, deviation): how far each split is from its share of the records."""
+    total, shares = allocated.count(), quota.where("share > 0").agg(F.coalesce(F.sum("share"), F.lit(1.0))).first()[0]
+    per = allocated.groupBy("split_name").agg(F.count("*").alias("records"))
+    out = F.broadcast(quota.where("share > 0").select("split_name", "share")).join(per, "split_name", "left")
+    out = out.select("split_name", F.coalesce("records", F.lit(0)).alias("records"), F.round(F.lit(total) * F.col("share") / F.lit(shares), 3).alias("wanted"))
+    return out.withColumn("deviation", F.round(F.col("records") - F.col("wanted"), 3))

@@ -9,7 +9,9 @@ aligned with refusal templates by the same subsequence. Languages are told by sc
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,20 @@ REFUSALS = [
     "не можу виконати", "не можу допомогти з", "мушу відмовитися", "змушений відмовити", "суперечить моїм правилам",
     "δεν μπορώ να βοηθήσω", "δεν μπορώ να εκπληρώσω", "չեմ կարող օգնել", "չեմ կարող կատարել", "لا أستطيع المساعدة", "لا يمكنني المساعدة", "لا أستطيع تنفيذ", "لا يمكنني تنفيذ", "मदद नहीं कर सकता", "मदद नहीं कर सकती", "도와드릴 수 없습니다", "도와 드릴 수 없습니다", "응할 수 없습니다",
 ]
+# The same as slots of alternatives, in order: what is refused, the work, and the task's name.
+REFUSAL_SLOTS = [
+    ["can't cannot won't unable refuse decline not", "help assist comply fulfill fulfil complete write create generate produce provide", "request task instruction instructions prompt"],
+    ["не", "могу смогу буду стану", "выполнить выполнять помочь написать писать создать создавать сгенерировать составить составлять подготовить предоставить", "запрос запросом просьбу просьбой задание заданием задачу задачей тексты"],
+    ["não", "posso consigo", "ajudar atender cumprir escrever criar gerar", "pedido solicitação tarefa isso"],
+    ["nie", "mogę jestem", "pomóc spełnić wykonać napisać stworzyć", "prośby prośbę tym zadania polecenia"],
+    ["non", "posso", "aiutare aiutarti soddisfare scrivere creare", "richiesta compito questo"],
+    ["kann werde darf", "anfrage aufgabe auftrag bitte", "nicht", "erfüllen bearbeiten ausführen"],
+    ["peux", "pas", "aider répondre accomplir écrire créer", "demande tâche"],
+    ["no", "puedo", "ayudar ayudarte cumplir completar escribir crear generar", "solicitud petición tarefa tarea"],
+    ["as", "an", "ai language", "model"], ["как", "языковая", "модель"], ["como", "modelo", "de", "lenguaje linguagem"], ["jako", "model", "językowy"],
+]
+#: Words that may stand between two slots.
+SLOT_GAP = 3
 # The same for scripts without spaces.
 REFUSALS_UNSPACED = ["无法完成", "无法帮助", "无法协助", "不能帮助", "无法提供", "拒绝这个请求", "お手伝いできません", "お応えできません", "お答えできません", "お断りします", "ไม่สามารถช่วย", "ไม่สามารถทำตาม"]
 # Frequent words of languages that share a script.
@@ -87,39 +103,90 @@ _TEMPLATES = [[w for part in t.split() for w in (["_"] if part == "_" else _word
 _RARE = [max((w for w in t if w != "_"), key=len) for t in _TEMPLATES]
 
 
-def is_refusal(text: str) -> bool:
+_SLOTS = [[frozenset(alternatives.split()) for alternatives in slots] for slots in REFUSAL_SLOTS]
+
+
+def _slots_align(words: list[str], held: set[str]) -> bool:
+    """Whether words of a template's slots follow each other, each at most SLOT_GAP words after the one before."""
+    for slots in _SLOTS:
+        if any(held.isdisjoint(slot) for slot in slots):
+            continue
+        reach = [i for i, w in enumerate(words) if w in slots[0]]
+        for slot in slots[1:]:
+            reach = sorted({j for i in reach for j in range(i + 1, min(len(words), i + 2 + SLOT_GAP)) if words[j] in slot})
+        if reach:
+            return True
+    return False
+
+
+class _Text:
+    """A text with what several tests need of it, each computed once."""
+
+    def __init__(self, text: str):
+        self.body = plain(text)
+        self.words = [w for w in _WORD.findall(self.body.replace("’", "'").lower())]
+
+
+def _of(text: str | _Text) -> _Text:
+    return text if isinstance(text, _Text) else _Text(text)
+
+
+def is_refusal(text: str | _Text) -> bool:
     """It holds a template anywhere: all its words in order, within the template's length and one word more."""
-    words = _words(text)
-    held = set(words)
+    text = _of(text)
+    held = set(text.words)
     for template, rare in zip(_TEMPLATES, _RARE):
         if rare not in held:
             continue
         fixed = [w for w in template if w != "_"]
         span = len(template) + 1
-        for at in (i for i, w in enumerate(words) if w == fixed[0]):
-            if common_subsequence(fixed, words[at : at + span]) == len(fixed):
+        for at in (i for i, w in enumerate(text.words) if w == fixed[0]):
+            if common_subsequence(fixed, text.words[at : at + span]) == len(fixed):
                 return True
-    bare = re.sub(r"\s+", "", plain(text))
+    if _slots_align(text.words, held):
+        return True
+    if not _UNSPACED_REFUSAL.search(text.body):
+        return False
+    bare = re.sub(r"\s+", "", text.body)
     return any(t in bare for t in REFUSALS_UNSPACED)
 
 
-def is_copy(prompt: str | None, text: str) -> bool:
-    asked, given = _words(prompt or ""), _words(text)
+#: Only texts with a character of these scripts can hold an unspaced template.
+_UNSPACED_REFUSAL = re.compile("[" + "".join(sorted({t[0] for t in REFUSALS_UNSPACED})) + "]")
+
+
+def is_copy(prompt: str | None | _Text, text: str | _Text) -> bool:
+    asked, given = _of(prompt or "").words, _of(text).words
     if len(asked) < SHINGLE or len(given) < SHINGLE:
         return False
-    a = [tuple(asked[i : i + SHINGLE]) for i in range(len(asked) - SHINGLE + 1)]
-    b = [tuple(given[i : i + SHINGLE]) for i in range(len(given) - SHINGLE + 1)]
+    a, b = (list(zip(*(w[k:] for k in range(SHINGLE)))) for w in (asked, given))
     in_a, in_b = set(a), set(b)
+    if in_a.isdisjoint(in_b):
+        return False
     contained, covered = sum(x in in_a for x in b) / len(b), sum(x in in_b for x in a) / len(a)
     if not (covered >= COVERED or (contained >= CONTAINED and covered >= COVERED / 2)):
         return False
     return common_subsequence(asked, given) / min(len(asked), len(given)) >= ALIGNED
 
 
-def language(text: str, hint: str | None = None) -> str | None:
+@lru_cache(maxsize=1 << 16)
+def _script_of_char(c: str) -> str | None:
+    return next((name for name, rx in _SCRIPTS if rx.match(c)), None)
+
+
+def _scripts(body: str) -> dict[str, int]:
+    counts = {name: 0 for name, _ in _SCRIPTS}
+    for c, n in Counter(body).items():
+        script = _script_of_char(c)
+        if script:
+            counts[script] += n
+    return counts
+
+
+def language(text: str | _Text, hint: str | None = None) -> str | None:
     """Language code, or the script's name where the script doesn't tell; null without letters."""
-    body = plain(text)
-    counts = {name: len(rx.findall(body)) for name, rx in _SCRIPTS}
+    text = _of(text)
+    counts = _scripts(text.body)
     letters = sum(counts.values())
     if not letters:
         return None
@@ -129,10 +196,9 @@ def language(text: str, hint: str | None = None) -> str | None:
     own = {v: k for k, v in _SCRIPT_OF.items() if v not in ("cyrillic",)}
     if script in own:
         return own[script]
-    words = _words(body)
     among = _CYRILLIC if script == "cyrillic" else _LATIN
-    score = {k: sum(w in held for w in words) for k, held in _FUNCTION.items() if k in among}
-    low = body.lower()
+    score = {k: sum(w in held for w in text.words) for k, held in _FUNCTION.items() if k in among}
+    low = text.body.lower()
     if script == "cyrillic":
         score["uk"] += 3 * len(re.findall(r"[іїєґ]", low))
         score["ru"] += 3 * len(re.findall(r"[ыэъё]", low))
@@ -145,38 +211,50 @@ def language(text: str, hint: str | None = None) -> str | None:
 
 
 _FUNCTION = {k: set(v) for k, v in FUNCTION_WORDS.items()}
+#: Words from which a text without any function word of its asked language is in another one.
+TELLING = 12
+
 
+def is_wrong_language(text: str | _Text, asked: str | None) -> bool:
+    """Wholly in another language; a text whose language can't be told, or with no language asked, is not.
 
-def is_wrong_language(text: str, asked: str | None) -> bool:
-    """Wholly in another language; a text whose language can't be told, or with no language asked, is not."""
+    A text of TELLING words or more in the asked language's script that holds no function word of it is wrong too,
+    whichever language it is in.
+    """
     if not asked:
         return False
+    text = _of(text)
     asked = asked.strip().lower().split("-")[0]
+    want = _SCRIPT_OF.get(asked, "latin")
     got = language(text, asked)
-    if got is None or got == asked or got in ("latin", "cyrillic") and got == _SCRIPT_OF.get(asked, "latin"):
+    if got is None or got == asked:
         return False
+    if got in ("latin", "cyrillic") and got == want:
+        return asked in _FUNCTION and len(text.words) >= TELLING
     if got in _SCRIPT_OF.values() or got == "latin":
-        return got != _SCRIPT_OF.get(asked, "latin")
-    want = _SCRIPT_OF.get(asked, "latin")
+        return got != want
     if _SCRIPT_OF.get(got, "latin") != want:
-        rx = dict(_SCRIPTS)[want]
-        return len(rx.findall(plain(text))) < 0.3 * sum(c.isalpha() for c in plain(text))
+        return _scripts(text.body)[want] < 0.3 * sum(c.isalpha() for c in text.body)
     return True
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple[int, str]] = []
-        for i, prompt, text, lang, cut_off in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if is_empty(text):
+        for i, prompt, raw, lang, cut_off in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if is_empty(raw):
                 found.append((i, "empty_answer"))
-            elif cut_off:
+                continue
+            if cut_off:
                 found.append((i, "truncated_answer"))
-            elif is_refusal(text):
+                continue
+            text = _Text(raw)
+            asked = _Text(prompt or "")
+            if is_refusal(text):
                 found.append((i, "refusal"))
-            elif is_copy(prompt, text):
+            elif is_copy(asked, text):
                 found.append((i, "question_copy"))
-            elif is_wrong_language(text, lang or language(prompt or "")):
+            elif is_wrong_language(text, lang or language(asked)):
                 found.append((i, "wrong_language"))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["response_id", "defect"])
 

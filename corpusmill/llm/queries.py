@@ -61,16 +61,26 @@ def p1_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_by_source(_truncation(spark, folder))
 
 
+def _splits(spark: SparkSession, folder: str) -> DataFrame:
+    from .group_splits import group_splits
+
+    return group_splits(_table(spark, folder, "phone_variant"), _table(spark, folder, "split_quota"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from .group_splits import mixed_groups
 
-    return mixed_groups(_table(spark, folder, "phone_variant")).withColumnRenamed("id", "variant_id")
+    return mixed_groups(_splits(spark, folder)).withColumnRenamed("id", "variant_id")
 
 
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
-    from .group_splits import group_splits
+    return _splits(spark, folder).select(F.col("id").alias("variant_id"), "group_key", "split_name")
+
+
+def p2_deviation(spark: SparkSession, folder: str) -> DataFrame:
+    from .group_splits import split_deviation
 
-    return group_splits(_table(spark, folder, "phone_variant"), _table(spark, folder, "split_quota")).withColumnRenamed("id", "variant_id")
+    return split_deviation(cut(_splits(spark, folder), "splits"), _table(spark, folder, "split_quota"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +89,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_table(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+def _containers(spark: SparkSession, folder: str) -> list[tuple[DataFrame, list[tuple[str, int]]]]:
     from .packing import fill_containers
     from .tokens import token_counts
 
@@ -90,8 +100,18 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for tokenizer, own in sorted(specs.items()):
         sizes = cut(token_counts(documents, "doc_id", "text", tokenizer), "sizes")
-        parts.append(fill_containers(sizes, own).withColumnRenamed("id", "doc_id"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append((fill_containers(sizes, own), own))
+    return parts
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [filled.withColumnRenamed("id", "doc_id") for filled, _ in _containers(spark, folder)])
+
+
+def p7_waste(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import container_waste
+
+    return reduce(DataFrame.unionByName, [container_waste(filled, own) for filled, own in _containers(spark, folder)])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,5 +120,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_splits, p3_found, p4_found, p5_found, p6_ids, p7_containers, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_by_source, p2_found, p2_splits, p2_deviation, p3_found, p4_found, p5_found, p6_ids, p7_containers, p7_waste, p8_found)}
 SQL: dict[str, str] = {}

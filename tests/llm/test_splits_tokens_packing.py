@@ -55,8 +55,13 @@ def test_mixed_groups_equal_brute_force(spark):
             if len(phones) > 1 or len(g) - len(phones) > 1:
                 want.add((i, "8" + phones[0]))
     df = spark.createDataFrame([(*r, "clash") for r in data], "variant_id long, phone_digits string, case_id string, kind string, node string")
-    got = {(r["id"], r["group_phone"]) for r in G.mixed_groups(df).collect()}
+    quota = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, share double")
+    out = G.group_splits(df, quota)
+    got = {(r["id"], r["group_phone"]) for r in G.mixed_groups(out).collect()}
     assert want and got == want
+    far = {r["split_name"]: r for r in G.split_deviation(out, quota).collect()}
+    assert sum(r["records"] for r in far.values()) == len(data) and far["train"]["wanted"] == round(0.7 * len(data), 3)
+    assert far["train"]["deviation"] == -far["test"]["deviation"]
 
 
 def test_splits_keep_groups_and_meet_shares(spark):
@@ -83,7 +88,7 @@ def test_splits_keep_groups_and_meet_shares(spark):
 def test_splits_of_empty_tables_and_no_shares(spark):
     empty = spark.createDataFrame([], "variant_id long, phone_digits string, case_id string, kind string")
     quota = spark.createDataFrame([("train", 1.0)], "split_name string, share double")
-    assert G.group_splits(empty, quota).count() == 0 and G.mixed_groups(empty).count() == 0
+    assert G.group_splits(empty, quota).count() == 0 and G.mixed_groups(G.group_splits(empty, quota)).count() == 0
     with pytest.raises(ValueError):
         G.group_splits(empty, quota.limit(0))
 
@@ -140,6 +145,41 @@ def test_packing_is_valid_and_tight():
     assert P.pack(np.zeros(3, np.int64), 5).tolist() == [0, 0, 0] and len(P.pack(np.zeros(0, np.int64), 5)) == 0
 
 
+def test_no_packing_of_small_cases_is_better():
+    rng = random.Random(1)
+
+    def optimum(sizes, capacity):
+        best = [len(sizes)]
+
+        def go(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(rooms)
+                return
+            for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+                rooms[k] -= sizes[i]
+                go(i + 1, rooms)
+                rooms[k] += sizes[i]
+            rooms.append(capacity - sizes[i])
+            go(i + 1, rooms)
+            rooms.pop()
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(400):
+        capacity = rng.choice([20, 50, 100])
+        sizes = sorted((rng.randrange(1, capacity * 2 // 3) for _ in range(12)), reverse=True)
+        want = optimum(sizes, capacity)
+        assert P.lower_bound(sizes, capacity) <= want
+        for nodes in (P.NODES, None):
+            load = np.bincount(P.pack(np.array(sizes), capacity, nodes), sizes)
+            assert load.max() <= capacity and len(load) == want
+    # greedy fills 10 with 6 and 4 first; the search over containers goes back on it
+    assert P.dominated([2, 3], [5], 0) and P.dominated([3], [4], 1) and not P.dominated([5], [5], 0) and P.dominated([], [2], 2)
+
+
 def test_small_cases_are_optimal():
     assert P.pack(np.array([6, 4, 5, 5, 7, 3]), 10).max() == 2
     assert sorted(P.complete(9, [2, 3, 4], [3, 1, 1])) == [0, 1, 2]
@@ -159,6 +199,10 @@ def test_containers_of_a_table(spark):
             assert sum(p[2] for p in parts) == n and (len(parts) == 1 or n > cap)
             assert [p[1] for p in parts] == [sum(q[2] for q in parts[:k]) for k in range(len(parts))]
     assert len({r["container_id"] for r in rows if r["spec_name"] == "s"}) == 6
+    waste = {r["spec_name"]: r for r in P.container_waste(P.fill_containers(sizes, [("s", 10), ("m", 1000)]), [("s", 10), ("m", 1000)]).collect()}
+    assert (waste["s"]["containers"], waste["s"]["least_containers"], waste["s"]["unused_tokens"]) == (6, 6, 5) and waste["m"]["containers"] == 1
+    small = P.fill_containers(sizes, [("s", 10)], nodes=None, block_items=1).collect()
+    assert {r["id"] for r in small} == set(range(1, 8))
     assert P.fill_containers(sizes.limit(0), [("s", 10)]).count() == 0 and P.fill_containers(sizes, []).count() == 0
     with pytest.raises(ValueError):
         P.fill_containers(sizes, [("s", 0)])

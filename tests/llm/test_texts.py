@@ -69,6 +69,19 @@ def test_refusals_anywhere_and_with_vowel_signs(text, refused):
     assert D.is_refusal(text) is refused
 
 
+@pytest.mark.parametrize("text", [
+    "I'm sorry, but I cannot complete that particular request.", "As an AI language model, I have no phone.", "Извините, я не смогу выполнить ваш запрос.", "Desculpe, não posso atender a esse pedido.",
+    "Przykro mi, nie mogę wykonać tego polecenia.", "Mi dispiace, non posso soddisfare la tua richiesta.", "Diese Bitte muss warten, ich kann Ihre Anfrage leider nicht bearbeiten.",
+])
+def test_refusals_of_other_wordings(text):
+    assert D.is_refusal(text) and D.is_refusal("слово " * 200 + text)
+
+
+def test_a_language_without_a_word_list_is_not_the_asked_one():
+    polish = "Dzień dobry, proszę podać numer telefonu jeszcze raz, ponieważ poprzednia wiadomość została ucięta przez system"
+    assert D.is_wrong_language(polish, "en") and not D.is_wrong_language("Anna Kowalska, Warszawa", "en")
+
+
 def test_copies_and_languages():
     prompt = "Write five short lines of a courier on the phone about a late parcel.\nKeep a calm tone."
     assert D.is_copy(prompt, "> " + prompt.upper()) and D.is_copy(prompt, "Write five short lines of a courier on the phone about a late parcel")
