@@ -11,7 +11,8 @@ together at ``threshold`` or more, and a class is everything connected so.
 3. Opened groups are verified exactly; links go to connected components.
 
 Skew: exact copies collapse before keys are made (within an Arrow batch) or counted (by a map-side combined minimum);
-buckets of up to ``WIDE`` texts give the pairs whose sketches are close; larger or crowded ones give a star around
+the texts of a key that is crowded within a batch go to tasks by text, and only one of them to the key's task, which
+then counts the key as crowded; the number of key tasks follows the rows. Buckets of up to ``WIDE`` texts give the pairs whose sketches are close; larger or crowded ones give a star around
 their smallest text, and only the texts that the star doesn't connect are compared with the rest of their bucket; large
 groups are split in blocks.
 
@@ -32,14 +33,19 @@ from pyspark.sql import functions as F
 from ..functions.normal_text import gram_codes, least_overlap
 from ..plans.components import components
 from ..plans.scratch import cut, new_path
-from .fingerprint import blocks, keys, most_differing, normal_or_none, sketch, text_node
+from .fingerprint import BLOCKS, blocks, keys, most_differing, normal_or_none, sketch, text_node
 
 #: A bucket of up to SMALL texts, or of up to WIDE with few close pairs, gives its close pairs; others take the exact way round.
 SMALL, WIDE = 32, 2048
 GROUP_BLOCK = 1024
+#: Texts of one batch of workers (BATCH texts) that a key may have before they bypass the key's task.
+CROWD, BATCH = 64, 4000
+#: Bytes of key records that one task may hold.
+SHARD_BYTES = 32 << 20
 #: Ids of texts to verify that may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("hot", "u1"), ("node", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+_MEMBER = np.dtype([("bucket", "<i8"), ("node", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 _ID = np.dtype([("id", "<i8"), ("node", "<i8")])
 PAIR, BIG, ID = 0, 1, 2
 
@@ -52,11 +58,11 @@ def _split(records: np.ndarray, shard: np.ndarray, kind: int) -> Iterator[tuple[
         yield int(shard[a]), kind, records[a:b].tobytes()
 
 
-def _records(shards: int, least_chars: int):
+def _records(shards: int, least_chars: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 pairs = [(i, n) for i, n in zip(part.column(0).to_pylist(), (normal_or_none(t, least_chars) for t in part.column(1).to_pylist())) if n is not None and i is not None]
                 if not pairs:
                     continue
@@ -66,16 +72,28 @@ def _records(shards: int, least_chars: int):
                 words = blocks([texts[i] for i in first])
                 own = nodes[first]
                 k = keys(words)
-                record = np.empty(k.size, _KEY)
+                record = np.zeros(k.size, _KEY)
                 flat = k.ravel()
                 record["low"], record["high"] = flat & np.uint64(0xFFFFFFFF), (flat >> np.uint64(32)) & np.uint64(0xFF)
+                shard = ((flat >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
                 s = sketch(words)
                 record["node"] = np.repeat(own, k.shape[1])
                 record["s0"], record["s1"] = (np.repeat(s[:, i].view(np.uint64), k.shape[1]) for i in (0, 1))
+                _, one, which, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+                hot = count[which] > crowd
+                member = np.empty(int(hot.sum()), _MEMBER)
+                member["bucket"] = (flat[hot] & np.uint64((1 << 40) - 1)).astype(np.int64) | (shard[hot] << 40)
+                for c in ("node", "s0", "s1"):
+                    member[c] = record[c][hot]
+                marks = one[count > crowd]
+                record["hot"][marks] = 1
+                keep = ~hot
+                keep[marks] = True
                 ident = np.empty(len(ids), _ID)
                 ident["id"], ident["node"] = ids, nodes
                 out = [
-                    *_split(record, ((flat >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), PAIR),
+                    *_split(record[keep], shard[keep], PAIR),
+                    *_split(member, np.abs(member["node"]) % shards, BIG),
                     *_split(ident, np.abs(ids) % shards, ID),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2] for o in out], pa.binary())], names=["shard", "kind", "payload"])
@@ -83,11 +101,12 @@ def _records(shards: int, least_chars: int):
     return run
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int, small: int = SMALL, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All buckets of one shard -> (a, b) pairs of the small ones, (bucket, node) members of the large ones.
+def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most: int, small: int = SMALL, wide: int = WIDE, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All buckets of one shard -> (a, b) pairs of the small ones, members (bucket, node, s0, s1) of the large ones and of those with a hot record.
 
     Pairs whose sketches differ in more than ``most`` bits end here, so chance meetings are never shuffled.
     """
+    hot_keys = np.unique(key[hot > 0]) if hot is not None else np.empty(0, np.int64)
     order = np.lexsort((node, key))
     key, node, bits = key[order], node[order], [x[order] for x in bits]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
@@ -95,14 +114,14 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    crowded = (sizes > max(small, wide)) | np.isin(key[starts], hot_keys)
     for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
-        rows = starts[sizes == size][:, None] + np.arange(size)
+        rows = starts[(sizes == size) & ~crowded][:, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
         i, j = rows[:, i].ravel(), rows[:, j].ravel()
         near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in bits) <= most
         left.append(node[i[near]])
         right.append(node[j[near]])
-    crowded = sizes > max(small, wide)
     for at in np.flatnonzero((sizes > small) & ~crowded):
         a, b = starts[at], starts[at] + sizes[at]
         apart = sum(np.bitwise_count(x[a:b, None] ^ x[None, a:b]).astype(np.int16) for x in bits)
@@ -114,28 +133,43 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, bits: list[np.ndarray], most
             right.append(node[a + j])
     both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
     large = np.repeat(crowded, sizes)
-    return both[:, 0], both[:, 1], key[large], node[large]
+    member = np.empty(int(large.sum()), _MEMBER)
+    member["bucket"], member["node"], member["s0"], member["s1"] = key[large], node[large], bits[0][large], bits[1][large]
+    return both[:, 0], both[:, 1], member
+
+
+_FLAT = "a long, b long, kind byte, s0 long, s1 long"
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int, small: int, wide: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {PAIR: [], ID: []}
-    for batch in batches:
-        for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            held[kind].append(payload)
+    """One shard: ids and members of crowded keys pass through, key records are held and compared."""
+    held: list[tuple[int, bytes]] = []
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, a: np.ndarray, b: np.ndarray, s0: np.ndarray | None = None, s1: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(a), 100_000):
-            cols = [np.ascontiguousarray(x[at : at + 100_000]) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), kind, np.int8))], names=["a", "b", "kind"])
-
-    ids = np.frombuffer(b"".join(held.pop(ID)), _ID)
-    yield from out(ID, ids["id"], ids["node"])
-    record = np.frombuffer(b"".join(held.pop(PAIR)), _KEY)
-    key = record["low"].astype(np.int64) | (record["high"].astype(np.int64) << 32)
-    a, b, bucket, node = bucket_pairs(key, record["node"].astype(np.int64), [record["s0"].astype(np.uint64), record["s1"].astype(np.uint64)], most, small, wide)
+            cols = [pa.array(np.ascontiguousarray(x[at : at + 100_000])) for x in (a, b)]
+            n = len(cols[0])
+            bits = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x[at : at + 100_000]).view(np.int64)) for x in (s0, s1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(n, kind, np.int8)), *bits], names=["a", "b", "kind", "s0", "s1"])
+
+    for batch in batches:
+        for shard, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if kind == PAIR:
+                held.append((shard, payload))
+            elif kind == ID:
+                ids = np.frombuffer(payload, _ID)
+                yield from out(ID, ids["id"], ids["node"])
+            else:
+                m = np.frombuffer(payload, _MEMBER)
+                yield from out(BIG, m["bucket"], m["node"], m["s0"], m["s1"])
+    record = np.frombuffer(b"".join(p for _, p in held), _KEY)
+    shard = np.repeat(np.array([s for s, _ in held], np.int64), [len(p) // _KEY.itemsize for _, p in held])
+    key = record["low"].astype(np.int64) | (record["high"].astype(np.int64) << 32) | (shard << 40)
+    held.clear()
+    a, b, m = bucket_pairs(key, record["node"].astype(np.int64), [record["s0"].astype(np.uint64), record["s1"].astype(np.uint64)], most, small, wide, record["hot"])
     del record, key
     yield from out(PAIR, a, b)
-    yield from out(BIG, bucket, node)
+    yield from out(BIG, m["bucket"], m["node"], m["s0"], m["s1"])
 
 
 def _open_groups(threshold: float):
@@ -219,7 +253,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, threshold: float) -> Data
     return rows.mapInArrow(_open_groups(threshold), "a long, b long")
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, least_chars: int = 40, small: int = SMALL, wide: int = WIDE) -> DataFrame:
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, least_chars: int = 40, small: int = SMALL, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
     """(id, first_id) of every record whose class has two or more records; first_id is the class's smallest id.
 
     ``id_col`` is a bigint, unique. Null texts and texts of fewer than ``least_chars`` characters after normalization
@@ -227,16 +261,19 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     Other columns are ignored.
     """
     spark = df.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flat = source.mapInArrow(_records(shards, least_chars), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most_differing(128, threshold), small=small, wide=wide), "a long, b long, kind byte")
+    most = most_differing(128, threshold)
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), source.count() * BLOCKS * _KEY.itemsize // SHARD_BYTES)
+    flat = source.mapInArrow(_records(shards, least_chars, crowd), "shard int, kind byte, payload binary").repartitionById(shards, "shard").mapInArrow(partial(_buckets, most=most, small=small, wide=wide), _FLAT)
     path = new_path(spark, "near")
     flat.write.partitionBy("kind").parquet(path)
-    raw = spark.read.schema("a long, b long, kind int").parquet(path)
+    raw = spark.read.schema("a long, b long, s0 long, s1 long, kind int").parquet(path)
     ids = raw.where(F.col("kind") == ID).select(F.col("a").alias("id"), F.col("b").alias("node"))
     first = ids.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    big = raw.where(F.col("kind") == BIG).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct()
-    stars = big.join(big.groupBy("bucket").agg(F.min("node").alias("top")), "bucket").where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    big = raw.where(F.col("kind") == BIG).groupBy(F.col("a").alias("bucket"), F.col("b").alias("node")).agg(F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    apart_bits = lambda x, y: F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
+    tops = big.groupBy("bucket").agg(F.min(F.struct("node", "s0", "s1")).alias("top"))
+    stars = big.alias("x").join(tops, "bucket").where((F.col("node") != F.col("top.node")) & (apart_bits("x", "top") <= most)).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
     pairs = raw.where(F.col("kind") == PAIR).select("a", "b").union(stars).distinct()
 
     def link(p: DataFrame) -> DataFrame:
@@ -252,10 +289,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     if not big.isEmpty():
         tag = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         top = tag.groupBy("bucket").agg(F.min_by("label", "node").alias("main"))
-        apart = tag.join(top, "bucket").where("label <> main").select("bucket", F.col("node").alias("a"))
-        salted = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        rest = salted.join(big.select("bucket", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.lit(16)).cast("int").alias("salt")), ["bucket", "salt"])
-        more = rest.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        apart = tag.join(top, "bucket").where("label <> main")
+        x = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).alias("x")
+        y = tag.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).alias("y")
+        near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & (apart_bits("x", "y") <= most)
+        more = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         links = links.union(link(more))
         labels = cut(components(links), "labels")
     known = first.join(labels, "node", "left").where("n > 1 OR label IS NOT NULL").select("node", "first", F.coalesce("label", "node").alias("label"))

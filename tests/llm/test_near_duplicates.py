@@ -67,13 +67,17 @@ def test_classes_equal_brute_force(spark):
 
 def test_crowded_buckets_take_the_exact_way_round(spark):
     """With every bucket of two or more counted as crowded the classes stay the same."""
-    a, b, key, node = ND.bucket_pairs(np.repeat(np.uint64(7), 40), np.arange(40), [np.zeros(40, np.uint64)] * 2, 10, 1, 1)
-    assert len(a) == len(b) == 0 and len(key) == len(node) == 40
-    a, b, key, node = ND.bucket_pairs(np.repeat(np.uint64(7), 40), np.arange(40), [np.zeros(40, np.uint64)] * 2, 10)
-    assert len(a) == 780 and len(node) == 0
+    of = (np.repeat(np.int64(7), 40), np.arange(40), [np.zeros(40, np.uint64)] * 2, 10)
+    a, b, member = ND.bucket_pairs(*of, 1, 1)
+    assert len(a) == len(b) == 0 and len(member) == 40
+    a, b, member = ND.bucket_pairs(*of)
+    assert len(a) == 780 and len(member) == 0
+    a, b, member = ND.bucket_pairs(*of, hot=np.arange(40) == 3)
+    assert len(a) == 0 and len(member) == 40
     texts = list(enumerate(collection(4, 8, 10)))
-    got = {(r["id"], r["first_id"]) for r in ND.near_duplicate_classes(table(spark, texts), "key", "body", small=1, wide=1).where("id <> first_id").collect()}
-    assert got == brute(texts)
+    for how in ({"small": 1, "wide": 1}, {"crowd": 1}):
+        got = {(r["id"], r["first_id"]) for r in ND.near_duplicate_classes(table(spark, texts), "key", "body", **how).where("id <> first_id").collect()}
+        assert got == brute(texts)
 
 
 def test_many_copies_and_one_family(spark):
