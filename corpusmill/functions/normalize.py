@@ -43,11 +43,9 @@ def char_ngrams(text: Column, n: int) -> Column:
     if n < 1:
         raise ValueError("n must be at least 1")
     text = F.btrim(F.regexp_replace(text, f"{WS}+", " "))
-    # over the array of characters, as substring would count from the text's start for each slice
-    each = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
-    slices = lambda t: F.array_distinct(F.transform(F.array(F.split(t, "")), each)[0])
-    of = lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.char_length(t) <= n, F.array(t)).otherwise(slices(t))
-    return F.transform(F.array(text), of)[0]
+    # each match looks n code points ahead and consumes one
+    slices = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.char_length(text) <= n, F.array(text)).otherwise(slices)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from .scratch import drop, new_path, write_table
 
 
+#: Nodes that a task holds before it hands on what it has joined so far.
+HELD = 1_000_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one task -> (node, root) stars with the same connectivity."""
+    """Edges of one task -> (node, root) stars with the same connectivity, for chunks of up to about HELD nodes."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -28,6 +32,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent.get(x, x)
         return top
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = [n for n in parent if parent[n] != n]
+        tops = [root(n) for n in nodes]
+        for at in range(0, len(nodes), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 50_000], pa.int64()), pa.array(tops[at : at + 50_000], pa.int64())], names=["a", "b"])
+        parent.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if a is None or b is None:
@@ -37,10 +48,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, high = (ra, rb) if ra < rb else (rb, ra)
                 parent[high] = low
                 parent.setdefault(low, low)
-    nodes = [n for n in parent if parent[n] != n]
-    tops = [root(n) for n in nodes]
-    for at in range(0, len(nodes), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 50_000], pa.int64()), pa.array(tops[at : at + 50_000], pa.int64())], names=["a", "b"])
+        if len(parent) > HELD:
+            yield from stars()
+    yield from stars()
 
 
 def _shrink(edges: DataFrame) -> DataFrame:
@@ -57,6 +67,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     path = new_path(spark, "edges")
     now = write_table(_shrink(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))), path)
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     mark = None
     for _ in range(max_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

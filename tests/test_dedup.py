@@ -6,7 +6,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions.normal_text import gram_set, jaccard, normal
+from corpusmill.functions.normal_text import gram_set, grams, jaccard, normal, similarity
 from corpusmill.operators import dedup as D
 
 WORDS = ["да", "нет", "Может", "быть", "ну", "что", "там"]
@@ -147,13 +147,37 @@ def test_empty_table_nulls_and_ties(spark):
         assert D.dedup(rows, policy).count() == 3
 
 
-def test_edges_equal_brute_force(spark):
+@pytest.mark.parametrize("n", [3, 2, 4])
+def test_edges_equal_brute_force(spark, n):
     rng = random.Random(5)
-    base = ["".join(rng.choice("абвгд ") for _ in range(40)).strip() for _ in range(12)]
-    texts = {normal(b[: rng.randrange(20, 41)] + rng.choice(["", "x", "yz"])) for b in base for _ in range(4)}
-    df = spark.createDataFrame([("b", t) for t in sorted(texts)], "bucket string, norm string").withColumn("tid", F.xxhash64("norm"))
-    ids = {r["tid"]: r["norm"] for r in df.collect()}
-    for t in (0.6, 0.75, 0.88):
-        got = {(ids[r["a"]], ids[r["b"]]) if ids[r["a"]] < ids[r["b"]] else (ids[r["b"]], ids[r["a"]]) for r in D.similar_edges(df, 3, t).collect()}
-        want = {(x, y) for x in texts for y in texts if x < y and jaccard(gram_set(x), gram_set(y)) >= t}
+    base = ["".join(rng.choice("абвгд 😀") for _ in range(40)).strip() for _ in range(12)]
+    texts = sorted({normal(b[: rng.randrange(20, 41)] + rng.choice(["", "x", "yz"])) for b in base for _ in range(4)} | {"а", "аб", ""})
+    df = spark.createDataFrame([("b", i, t, i % 5 == 0) for i, t in enumerate(texts)], "bucket string, tid long, norm string, before boolean")
+    sets = [grams(t, n) for t in texts]
+    for t in (0.6, 0.88):
+        got = {(r["a"], r["b"]) for r in D.similar_edges(df, n, t).collect()}
+        want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] and similarity(sets[i], sets[j]) >= t}
         assert got == want and (t > 0.8 or want)
+    new = {(r["a"], r["b"]) for r in D.similar_edges(df, n, 0.6, F.col("before")).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] and (i % 5 or j % 5) and similarity(sets[i], sets[j]) >= 0.6}
+    assert new == want and D.similar_edges(df.limit(0), n, 0.6).count() == 0
+    with pytest.raises(ValueError):
+        D.similar_edges(df, n, 0)
+
+
+def test_similar_replies_equal_brute_force(spark, tmp_path):
+    from corpusmill.plans.queries import QUERIES
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("абвгдежз") for _ in range(5))
+    base = [" ".join(word() for _ in range(40)) for _ in range(6)]
+    rows = [(i, rng.choice(["r", "s", None]), (rng.choice(base) + rng.choice(["", " да", " ещё " + word(), "!"])) if i % 9 else None) for i in range(80)]
+    spark.createDataFrame(rows, "response_id long, rule_id string, raw_text string").write.parquet(f"{tmp_path}/api_response.parquet")
+    got = {(r["bucket"], r["first_id"], r["response_id"]) for r in QUERIES["similar_replies"](spark, str(tmp_path)).collect()}
+    first = {}
+    for i, rule, text in rows:
+        if text is not None:
+            first.setdefault((rule or "", normal(text)), i)
+    held = sorted((b, i, grams(t, 3)) for (b, t), i in first.items())
+    want = {(b, i, j) for b, i, x in held for c, j, y in held if b == c and i < j and similarity(x, y) >= 0.88}
+    assert want and got == want

@@ -29,6 +29,26 @@ def test_components_of_paths_rings_and_hubs(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_a_task_hands_on_its_forest_in_chunks(monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.plans import components as module
+
+    monkeypatch.setattr(module, "HELD", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 6)), pa.array(range(i + 1, i + 7))], names=["a", "b"]) for i in range(0, 60, 6)]
+    out = [pair for b in module._forest(iter(batches)) for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in out:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {root(i) for i in range(61)} == {0} and len(out) >= 60
+
+
 def test_prompts(spark):
     assert R.plan_size(10, 4, 9, 9, 9) == 3 and R.plan_size(0, 4, 9, 9, 9) == 1 and R.plan_size(10, 4, 4, 2, 9) == 2 and R.plan_size(10, 4, 0, 2, 9) == 0
     asked = R.plan_requests(spark, "r", 5, 2)
