@@ -216,11 +216,11 @@ def truncation(records: DataFrame) -> DataFrame:
     partial = cut(unknown.join(prefixes.withColumn("cut_word", F.lit(True)), "token", "left"), "partial").withColumn("unknown", F.lit(True))
 
     limits = last.groupBy("table_name", "source").agg(F.max("chars").alias("max_chars"), F.max("bytes").alias("max_bytes"), F.count("*").alias("n"))
-    near = last.join(F.broadcast(limits), (last.source.eqNullSafe(limits.source)) & (last.table_name == limits.table_name)).select(last["*"], "max_chars", "max_bytes", F.col("n").alias("of"))
+    near = last.join(limits, (last.source.eqNullSafe(limits.source)) & (last.table_name == limits.table_name)).select(last["*"], "max_chars", "max_bytes", F.col("n").alias("of"))
     piles = near.groupBy("table_name", "source").agg(F.first("of").alias("of"), F.first("max_chars").alias("max_chars"), F.first("max_bytes").alias("max_bytes"), F.sum((F.col("chars") == F.col("max_chars")).cast("int")).alias("c"), F.sum((F.col("bytes") >= F.col("max_bytes") - 3).cast("int")).alias("b"))
     piled = (F.col("c") >= F.greatest(F.lit(5), F.col("of") * PILE)).alias("char_limit"), (F.col("b") >= F.greatest(F.lit(5), F.col("of") * PILE)).alias("byte_limit")
     at = piles.select("table_name", "source", "max_chars", "max_bytes", *piled)
-    out = last.join(F.broadcast(at), (last.source.eqNullSafe(at.source)) & (last.table_name == at.table_name)).select(last["*"], ((F.col("char_limit") & (F.col("chars") == F.col("max_chars"))) | (F.col("byte_limit") & (F.col("bytes") >= F.col("max_bytes") - 3))).alias("at_limit"))
+    out = last.join(at, (last.source.eqNullSafe(at.source)) & (last.table_name == at.table_name)).select(last["*"], ((F.col("char_limit") & (F.col("chars") == F.col("max_chars"))) | (F.col("byte_limit") & (F.col("bytes") >= F.col("max_bytes") - 3))).alias("at_limit"))
     for k in (1, 2, 3, 4):
         out = out.join(runs.select(F.col("run").alias(f"run{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("n", "ends", "trails"))), f"run{k}", "left")
     out = out.join(partial, "token", "left")
