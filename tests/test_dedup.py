@@ -1,5 +1,6 @@
 """Closed forms against a sequential model."""
 
+import os
 import random
 from collections import Counter, deque
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.normal_text import gram_set, grams, jaccard, normal, similarity
 from corpusmill.operators import dedup as D
+from corpusmill.plans.scratch import cut
 
 WORDS = ["да", "нет", "Может", "быть", "ну", "что", "там"]
 
@@ -96,6 +98,20 @@ def test_many_rows_equal_the_sequential_ones(spark):
     assert got == want and set(Counter(want.values())) == {D.OK, D.EXACT, D.PREFIX, D.NEAR}
 
 
+def test_no_text_is_accepted_twice_at_size(spark):
+    """The largest given tables: every row has one verdict, no text is accepted twice and no prefix is over its quota."""
+    from corpusmill.plans import queries as Q
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the given tables are not here")
+    stream_ = Q._stream(spark, folder)
+    out = cut(D.prepare(D.dedup(stream_, Q.FULL), Q.FULL).select("bucket", "seq", "norm", "prefix", "verdict"))
+    ok = out.where("verdict = 'ok'")
+    assert out.count() == stream_.count() == out.select("bucket", "seq").distinct().count()
+    assert ok.groupBy("bucket", "norm").count().where("count > 1").isEmpty() and ok.groupBy("bucket", "prefix").count().where(F.col("count") > Q.FULL.prefix_max).isEmpty()
+
+
 def test_prior_rows_are_state_whatever_they_are(spark):
     """Prior rows that the policy would reject still count, as they were accepted before."""
     policy = D.DedupPolicy("p", prefix_words=1, prefix_max=3, threshold=0.7, max_compare=2)
