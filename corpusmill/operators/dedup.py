@@ -68,19 +68,29 @@ def prepare(df: DataFrame, policy: DedupPolicy, text: str = "text", rule: str =
     return df.withColumn("bucket", policy.bucket(F.coalesce(F.col(rule), F.lit("")))).withColumn("norm", norm).withColumn("prefix", prefix_key(F.col("norm"), policy.prefix_words))
 
 
-def _exact_and_prefix(rows: DataFrame, policy: DedupPolicy) -> DataFrame:
+def _exact_and_prefix(rows: DataFrame, policy: DedupPolicy, old: DataFrame | None) -> DataFrame:
+    """Verdicts without n-grams; ``old`` has (bucket, norm, prefix) of the rows that were accepted before."""
+
+    def ranked(df: DataFrame, prefix: str, order: str) -> DataFrame:
+        """The rows whose prefix has room for them: those accepted before, then by rank."""
+        out = df.withColumn("r", F.row_number().over(Window.partitionBy("bucket", prefix).orderBy(order))).where(F.col("r") <= policy.prefix_max)
+        if old is None:
+            return out
+        used = old.groupBy("bucket", F.col("prefix").alias(prefix)).agg(F.count("*").alias("used"))
+        return out.join(used, ["bucket", prefix], "left").where(F.col("r") + F.coalesce("used", F.lit(0)) <= policy.prefix_max)
+
     if not policy.exact:
         if not policy.prefix_enabled:
             return rows.withColumn("verdict", F.lit(OK))
-        within = Window.partitionBy("bucket", "prefix").orderBy("seq")
-        kept = rows.select("bucket", "seq", "prefix").withColumn("r", F.row_number().over(within)).where(F.col("r") <= policy.prefix_max).select("bucket", "seq", F.lit(OK).alias("ok"))
+        kept = ranked(rows.select("bucket", "seq", "prefix"), "prefix", "seq").select("bucket", "seq", F.lit(OK).alias("ok"))
         return rows.join(kept, ["bucket", "seq"], "left").withColumn("verdict", F.coalesce("ok", F.lit(PREFIX))).drop("ok")
     first = rows.groupBy("bucket", "norm").agg(F.min("seq").alias("first_seq"), F.first("prefix").alias("p"))
-    if policy.prefix_enabled:
-        within = Window.partitionBy("bucket", "p").orderBy("first_seq")
-        allowed = first.withColumn("r", F.row_number().over(within)).where(F.col("r") <= policy.prefix_max).select("bucket", "norm", "first_seq")
-    else:
-        allowed = first.select("bucket", "norm", "first_seq")
+    held = old.select("bucket", "norm").distinct() if old is not None else None
+    if held is not None:
+        first = first.join(held, ["bucket", "norm"], "left_anti")
+    allowed = (ranked(first, "p", "first_seq") if policy.prefix_enabled else first).select("bucket", "norm", "first_seq")
+    if held is not None:
+        allowed = allowed.unionByName(held.withColumn("first_seq", F.lit(-(1 << 63)).cast("long")))
     verdict = F.when(F.col("first_seq").isNull(), PREFIX).when(F.col("first_seq") == F.col("seq"), OK).otherwise(EXACT)
     return rows.join(allowed, ["bucket", "norm"], "left").withColumn("verdict", verdict).drop("first_seq")
 
@@ -184,7 +194,7 @@ def _with_ngrams(rows: DataFrame, policy: DedupPolicy) -> DataFrame:
     passed = contested.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInArrow(_ordered_pass(policy), "bucket string, seq long, v string")
     plain = known.where("NOT contested").select("bucket", "seq", F.when(F.col("_prior") | (F.col("sure") == PREFIX) | (F.col("seq") == F.col("tid")), F.when(F.col("_prior"), OK).otherwise(F.col("sure"))).otherwise(EXACT).alias("v"))
     verdicts = passed.unionByName(plain)
-    out = whole.join(verdicts, ["bucket", "seq"], "left")
+    out = whole.where("NOT _prior").join(verdicts, ["bucket", "seq"], "left")
     return out.withColumn("verdict", F.coalesce("v", F.raise_error(F.lit("a row got no verdict")))).drop("v")
 
 
@@ -195,15 +205,17 @@ def dedup(df: DataFrame, policy: DedupPolicy, text: str = "text", rule: str = "r
     rule as an empty one. ``prior`` has (rule, seq, text) of rows accepted earlier, which are state whatever the policy
     says of them; they come before all rows of ``df`` and get no verdict. Other columns are kept, an empty table gives no rows.
     """
-    rows = df
-    if prior is not None:
-        held = prior.select(F.col(rule), F.col(text), F.col("seq"))
-        rows = df.withColumn("_prior", F.lit(False)).unionByName(held.withColumn("_prior", F.lit(True)), allowMissingColumns=True)
-        rows = rows.withColumn("_seq", F.col("seq")).withColumn("seq", F.when(F.col("_prior"), F.col("seq") - F.lit(1 << 62)).otherwise(F.col("seq")))
-    rows = prepare(rows, policy, text, rule)
-    out = _with_ngrams(rows, policy) if policy.ngram_enabled else _exact_and_prefix(rows, policy)
+    rows = prepare(df, policy, text, rule)
+    old = None
     if prior is not None:
-        out = out.where("NOT _prior").withColumn("seq", F.col("_seq")).drop("_prior", "_seq")
+        old = prepare(prior.select(F.col(rule), F.col(text), F.col("seq")), policy, text, rule)
+    if policy.ngram_enabled:
+        if old is not None:
+            # prior rows come first, in their own order
+            rows = rows.withColumn("_prior", F.lit(False)).unionByName(old.withColumn("_prior", F.lit(True)).withColumn("seq", F.col("seq") - F.lit(1 << 62)), allowMissingColumns=True)
+        out = _with_ngrams(rows, policy)
+    else:
+        out = _exact_and_prefix(rows, policy, old)
     return out.drop("norm", "prefix", "_prior")
 
 

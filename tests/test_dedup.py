@@ -112,14 +112,17 @@ def test_no_text_is_accepted_twice_at_size(spark):
     assert ok.groupBy("bucket", "norm").count().where("count > 1").isEmpty() and ok.groupBy("bucket", "prefix").count().where(F.col("count") > Q.FULL.prefix_max).isEmpty()
 
 
-def test_prior_rows_are_state_whatever_they_are(spark):
-    """Prior rows that the policy would reject still count, as they were accepted before."""
-    policy = D.DedupPolicy("p", prefix_words=1, prefix_max=3, threshold=0.7, max_compare=2)
+@pytest.mark.parametrize("ngrams", [True, False])
+@pytest.mark.parametrize("exact", [True, False])
+def test_prior_rows_are_state_whatever_they_are(spark, ngrams, exact):
+    """Prior rows that the policy would reject still count, as they were accepted before; rows without a number of their own too."""
+    policy = D.DedupPolicy("p", exact=exact, prefix_words=1, prefix_max=3, threshold=0.7, max_compare=2, ngram_enabled=ngrams)
     make = lambda part: spark.createDataFrame(part, "rule_id string, seq long, text string")
-    prior = [("r", 1, "один два три четыре"), ("r", 2, "один два три четыре"), ("r", 3, "один два три четыре!!"), ("r", 4, "семь восемь девять десять"), ("r", 5, "шесть")]
-    rows = [("r", 1, "один другой текст"), ("r", 2, "семь восемь девять десят"), ("r", 3, "шесть"), ("r", 4, "новый")]
+    prior = [("r", 0, "один два три четыре"), ("r", 0, "один два три четыре"), ("r", 0, "один два три четыре!!"), ("r", 4, "семь восемь девять десять"), ("r", 5, "шесть")]
+    rows = [("r", 1, "один другой текст"), ("r", 2, "семь восемь девять десят"), ("r", 3, "шесть"), ("r", 4, "новый"), ("r", 5, "новый"), ("r", 6, "один два три четыре")]
     got = {r["seq"]: r["verdict"] for r in D.dedup(make(rows), policy, prior=make(prior)).collect()}
-    assert got == {1: D.PREFIX, 2: D.NEAR, 3: D.EXACT, 4: D.OK}
+    near, twice = (D.NEAR if ngrams else D.OK), (D.EXACT if exact else D.NEAR if ngrams else D.OK)
+    assert got == {1: D.PREFIX, 2: near, 3: twice, 4: D.OK, 5: twice, 6: D.EXACT if exact else D.PREFIX}
 
 
 @pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}, {"spark.sql.adaptive.enabled": "false"}], ids=["default", "uncoalesced", "static"])
