@@ -395,9 +395,16 @@ def _particle_gaps(text: str, a: int, b: int, lattice: WordLattice) -> list[int]
     At a space: the word before it closes a sentence, and the word after it joins nothing to it. Where a stretch of
     Chinese or Japanese has no terminator at all: inside a run too, if a closing word is followed by an opening one.
     """
-    runs = list(_RUN.finditer(text, a, b))
-    words = {m.start(): (_script(m), lattice.cut(m.group(0))) for m in runs}
-    ends = {m.end(): m.start() for m in runs}
+    runs = {m.start(): m for m in _RUN.finditer(text, a, b)}
+    ends = {m.end(): at for at, m in runs.items()}
+    known: dict[int, list[str]] = {}
+
+    def words(at: int) -> list[str]:
+        # only runs beside a gap, or without any terminator around, are ever segmented
+        if at not in known:
+            known[at] = lattice.cut(runs[at].group(0))
+        return known[at]
+
     out = []
     for m in _GAP.finditer(text, a, b):
         at = m.start()
@@ -405,18 +412,17 @@ def _particle_gaps(text: str, a: int, b: int, lattice: WordLattice) -> list[int]
             at -= 1
         if at not in ends or m.end() >= b:
             continue
-        script, before = words[ends[at]]
-        if not _closes(before, FINALS[script]):
+        if not _closes(words(ends[at]), FINALS[_script(runs[ends[at]])]):
             continue
-        if m.end() in words and words[m.end()][1][0] in JOINS[words[m.end()][0]]:
+        if m.end() in runs and words(m.end())[0] in JOINS[_script(runs[m.end()])]:
             continue
         if not _ONLY_EMOJI.match(text, m.end(), b):
             out.append(m.start())
     if not _END.search(text, a, b):
-        for m in runs:
-            script, parts = words[m.start()]
+        for at, m in runs.items():
+            script = _script(m)
             if script in OPENERS:
-                at = m.start()
+                parts = words(at)
                 for i, (x, y) in enumerate(zip(parts, parts[1:])):
                     at += len(x)
                     if x in FINALS[script] and y in OPENERS[script]:
