@@ -1,92 +1,219 @@
 """Exact similarity join: all pairs of texts of one bucket whose character n-gram sets reach a Jaccard value.
 
-Prefix filter: sets whose Jaccard value reaches t share one of their first ``size - ceil(t * size) + 1`` members in any
-common order. The order here is by corpus frequency, the rarest first, so that only some n-grams of a text are shuffled
-and few texts meet. Frequencies are counted over all texts (combined in the workers before the shuffle); the ``RANKED``
-most frequent n-grams are broadcast, all others count as rarest, which any common order allows.
-
-A meeting at positions i and j can have at most ``1 + min(rest of a, rest of b)`` members in common from there on, and the
-first common member of a similar pair passes that bound, so chance meetings end in the join. What is left is verified
-on the texts. n-grams of up to three code points are packed into integers, longer ones are compared as texts: no hash.
+Each set is folded into a row of bits: every n-gram flips one bit. Two rows differ in at most as many bits as the sets
+differ in members, and sets of a and b members that reach t differ in at most ``(a + b) * (1 - t) / (1 + t)``. So a pair
+whose bits differ in more is none, whatever was hashed where, and only the others are verified on their texts. A longer
+text has more bits, so that chance pairs differ in more than the bound; rows are folded to the shorter one's length, and
+further where the bound is low.
+
+Texts are compared in blocks of like set sizes, and blocks only where their sizes allow the value. A bucket of up to
+``LARGE`` texts is one block; larger ones are cut into blocks, whose pairs are shared out. A text's row of bits is shuffled
+once for each block it meets, at most ``PIECES`` or one for each ``WIDEST`` texts of its bucket. A filter by the rarest n-grams was tried before: texts
+of one template and alphabet share them so often that nearly all pairs of a bucket met.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal_text import gram_codes, grams, similarity
 from ..plans.scratch import cut
 
-#: n-grams whose frequency is sent to all workers (16 bytes each).
-RANKED = 500_000
+#: Texts of a bucket that are compared as one block; blocks of a larger bucket, and texts of a block at most.
+LARGE, PIECES, WIDEST = 4096, 12, 32_768
 _BATCH = 2000
+_ROWS, _COLUMNS = 16, 4096
 
 
-def _sets(texts: list[str], n: int) -> list:
-    """Distinct n-grams of each text: sorted integer arrays for n = 3, else sorted lists."""
+def _sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """Distinct n-grams of each text as numbers: packed code points for n = 3, else hashes."""
     if n != 3:
-        return [sorted(grams(t, n)) for t in texts]
+        import xxhash
+
+        return [np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams(t, n)], np.uint64) for t in texts]
     codes, whose = gram_codes([" ".join(t.split()) for t in texts])
     ends = np.searchsorted(whose, np.arange(len(texts) + 1))
-    return [np.unique(codes[a:b].view("i8")) for a, b in zip(ends, ends[1:])]
+    return [np.unique(codes[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _roomy(width: int) -> float:
+    """Differing members up to which rows of so many bits tell chance pairs apart: those differ in half of the bits, but for three deviations."""
+    return width / 2 - 1.5 * width**0.5
+
 
+def _width(size: int, threshold: float) -> int:
+    """Bits for a set of that size; a larger similar one has at most ``size * (1 - t) / t`` other members."""
+    width = 256
+    while _roomy(width) < size * (1 - threshold) / threshold:
+        width *= 2
+    return width
 
-def _frequencies(n: int):
-    kind = pa.int64() if n == 3 else pa.string()
 
+def _rows_of_bits(sets: list[np.ndarray], widths: list[int]) -> list[bytes]:
+    each = np.concatenate(sets) * np.uint64(0x9E3779B97F4A7C15)
+    each ^= each >> np.uint64(29)
+    each *= np.uint64(0xBF58476D1CE4E5B9)
+    bit = (each >> np.uint64(32)).astype(np.int64) & (np.repeat(widths, [len(s) for s in sets]) - 1)
+    starts = np.cumsum([0, *widths])
+    odd = np.bincount(np.repeat(starts[:-1], [len(s) for s in sets]) + bit, minlength=starts[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(starts, starts[1:])]
+
+
+def _signed(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
-                sets = _sets(batch.column(0).slice(at, _BATCH).to_pylist(), n)
-                if n == 3:
-                    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                else:
-                    seen = Counter(g for s in sets for g in s)
-                    tokens, counts = list(seen), list(seen.values())
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, kind), pa.array(counts, pa.int64())], names=["token", "n"])
+                part = batch.slice(at, _BATCH)
+                sets = _sets(part.column(2).to_pylist(), n)
+                there = [i for i, s in enumerate(sets) if len(s)]
+                if not there:
+                    continue
+                sets = [sets[i] for i in there]
+                bits = _rows_of_bits(sets, [_width(len(s), threshold) for s in sets])
+                bucket, tid, old = (part.column(i).take(pa.array(there)) for i in (0, 1, 3))
+                yield pa.RecordBatch.from_arrays([bucket, tid, old, pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary())], names=["bucket", "tid", "old", "size", "bits"])
 
     return run
 
 
-def _heads(n: int, threshold: float, ranked):
-    kind = pa.int64() if n == 3 else pa.string()
+class _Block:
+    """Texts in ascending order of set size, with their rows of bits at every length up to their own."""
+
+    def __init__(self, tid: np.ndarray, old: np.ndarray, size: np.ndarray, bits: np.ndarray):
+        order = np.argsort(size, kind="stable")
+        self.tid, self.old, self.size = tid[order], old[order], size[order]
+        rows = bits[order]
+        # widths follow the sizes, so the texts of a width or more are the last ones
+        self.width = np.fromiter((len(r) * 8 for r in rows), np.int64, len(rows))
+        self.folded: dict[int, tuple[int, np.ndarray]] = {}
+        width, held = int(self.width[-1]), None
+        while width >= 64:
+            first = int(np.searchsorted(self.width, width))
+            own = np.frombuffer(b"".join(rows[first : int(np.searchsorted(self.width, width, "right"))]), np.uint64).reshape(-1, width // 64).T
+            if held is not None:
+                half = held[: width // 64] ^ held[width // 64 :]
+                own = np.concatenate([own, half], axis=1) if own.size else half
+            held = np.ascontiguousarray(own)
+            self.folded[width] = (first, held)
+            width //= 2
+
+    def words(self, width: int, a: int, b: int) -> np.ndarray:
+        first, held = self.folded[width]
+        return held[:, a - first : b - first]
+
+
+def _near(x: _Block, y: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the pairs whose bits allow the threshold; of one block with itself, each pair once."""
+    share, found = (1 - threshold) / (1 + threshold), []
+    for a in range(0, len(x.size), _ROWS):
+        b = min(a + _ROWS, len(x.size))
+        start = a if x is y else int(np.searchsorted(y.size, x.size[a] * (threshold - 1e-9)))
+        end = int(np.searchsorted(y.size, x.size[b - 1] / (threshold - 1e-9), "right"))
+        for c in range(start, end, _COLUMNS):
+            d = min(c + _COLUMNS, end)
+            most, longest = (int(x.size[b - 1]) + int(y.size[d - 1])) * share + 1e-6, int(min(x.width[a], y.width[c]))
+            width = 64
+            while width < longest and _roomy(width) < most:
+                width *= 2
+            apart = None
+            for p, q in zip(x.words(width, a, b), y.words(width, c, d)):
+                here = np.bitwise_count(p[:, None] ^ q[None, :])
+                here = here if width < 256 else here.astype(np.uint16)
+                apart = here if apart is None else np.add(apart, here, out=apart)
+            at = np.flatnonzero(apart <= most)
+            if not len(at):
+                continue
+            i, j = at // (d - c) + a, at % (d - c) + c
+            if x is y:
+                i, j = i[i < j], j[i < j]
+            keep = ~(x.old[i] & y.old[j]) & (np.minimum(x.size[i], y.size[j]) >= np.maximum(x.size[i], y.size[j]) * (threshold - 1e-9))
+            i, j = i[keep], j[keep]
+            if len(i):
+                (f, p), (g, q) = x.folded[longest], y.folded[longest]
+                differ = sum(np.bitwise_count(m[i - f] ^ n[j - g]).astype(np.int32) for m, n in zip(p, q))
+                keep = differ <= (x.size[i].astype(np.int64) + y.size[j]) * share + 1e-6
+                found.append((i[keep], j[keep]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _met(threshold: float):
+    """Candidate pairs of rows (bucket, p, q, block, tid, old, size, bits) that are sorted by bucket, p and q."""
+
+    def pairs(key: tuple, parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
+        blocks, *rest = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*parts))
+        bucket, p, q = key
+        first = blocks == p
+        if len(blocks) < 2 or p != q and (first.all() or not first.any()):
+            return None
+        x = _Block(*(c if p == q else c[first] for c in rest))
+        y = x if p == q else _Block(*(c[~first] for c in rest))
+        i, j = _near(x, y, threshold)
+        if not len(i):
+            return None
+        a, b = x.tid[i], y.tid[j]
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["bucket", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = ranked.value
-        place = None if n == 3 else dict(zip(tokens, counts))
+        held: list[list[np.ndarray]] = []
+        key = None
         for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(at, _BATCH)
-                buckets, tids, olds = (part.column(i).to_pylist() for i in (0, 1, 3))
-                out: list[tuple] = []
-                for b, tid, old, s in zip(buckets, tids, olds, _sets(part.column(2).to_pylist(), n)):
-                    size = len(s)
-                    if not size:
-                        continue
-                    keep = max(1, size - int(np.ceil(threshold * size - 1e-6)) + 1)
-                    if n == 3:
-                        if len(tokens):
-                            i = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                            df = np.where(tokens[i] == s, counts[i], 0)
-                        else:
-                            df = np.zeros(size, np.int64)
-                        head = s[np.lexsort((s, df))[:keep]].tolist()
-                    else:
-                        head = sorted(s, key=lambda g: (place.get(g, 0), g))[:keep]
-                    out.extend((b, tid, size, k, g, old) for k, g in enumerate(head))
-                cols = list(zip(*out)) or [()] * 6
-                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), kind, pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "tid", "size", "place", "token", "old"])
+            if not batch.num_rows:
+                continue
+            buckets, (p, q) = batch.column(0), (batch.column(i).to_numpy() for i in (1, 2))
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
+            names = pc.dictionary_encode(buckets).indices.to_numpy()
+            ends = np.flatnonzero((np.diff(names) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
+                own = (buckets[a].as_py(), int(p[a]), int(q[a]))
+                if own != key and held:
+                    if (out := pairs(key, held)) is not None:
+                        yield out
+                    held = []
+                key = own
+                held.append([c[a:b] for c in columns])
+        if held and (out := pairs(key, held)) is not None:
+            yield out
 
     return run
 
 
+def _candidates(signed: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, a, b), a < b, of all pairs whose bits allow the threshold."""
+    spark = signed.sparkSession
+    about = Window.partitionBy("bucket")
+    sizes = signed.groupBy("bucket", "size").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(about)).where(F.col("total") > LARGE)
+    sizes = cut(sizes.withColumn("before", F.sum("n").over(about.orderBy("size")) - F.col("n")).withColumn("each", F.greatest(F.lit(LARGE), F.least(F.lit(WIDEST), F.ceil(F.col("total") / PIECES)))), "sizes")
+    columns = ["bucket", "p", "q", "block", "tid", "old", "size", "bits"]
+    zero = lambda c: F.lit(0).alias(c)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if sizes.isEmpty():
+        rows = signed.select("bucket", zero("p"), zero("q"), zero("block"), "tid", "old", "size", "bits")
+    else:
+        place = lambda at: F.floor(at / F.col("each")).cast("int")
+        blocks = sizes.select("bucket", "size", F.explode(F.sequence(place(F.col("before")), place(F.col("before") + F.col("n") - 1))).alias("block")).groupBy("bucket", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") >= F.col("y.least") * (threshold - 1e-9))
+        pairs = cut(x.join(y, meet).select(F.col("x.bucket").alias("bucket"), F.col("x.block").alias("p"), F.col("y.block").alias("q")), "blocks")
+        # tasks are few bytes and much comparing, so their number follows the pairs of blocks
+        parts = max(parts, min(1000, pairs.count()))
+        slots = pairs.select("bucket", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+        # a text's place within its set size is a hash of its id
+        placed = signed.join(sizes, ["bucket", "size"], "left").withColumn("block", place(F.col("before") + F.pmod(F.xxhash64("tid"), F.col("n"))))
+        rows = placed.where("block IS NOT NULL").join(slots, ["bucket", "block"]).select(*columns)
+        rows = rows.unionByName(placed.where("block IS NULL").select("bucket", zero("p"), zero("q"), zero("block"), "tid", "old", "size", "bits"))
+    rows = rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return rows.mapInArrow(_met(threshold), "bucket string, a long, b long")
+
+
 def _verified(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,29 +236,13 @@ def similar_edges(texts: DataFrame, n: int, threshold: float, old: Column | None
     """(bucket, a, b, jaccard) of all pairs a < b of one bucket of (bucket, tid, norm) at the threshold or more.
 
     Every text is in its bucket once, under a tid of its own. Two texts for which ``old`` is true are not compared.
-    Empty texts have no pair, nor have null ones; an empty table gives no rows. Nothing is hashed or capped.
+    Empty texts have no pair, nor have null ones; an empty table gives no rows. Nothing is capped.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
-    spark = texts.sparkSession
     held = cut(texts.where("norm <> ''").select("bucket", "tid", "norm", (F.lit(False) if old is None else old).alias("old")), "texts")
-    kind = "long" if n == 3 else "string"
-    counted = held.select("norm").mapInArrow(_frequencies(n), f"token {kind}, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED).toArrow()
-    tokens, counts = top.column("token"), top.column("n").to_numpy()
-    if n == 3:
-        order = np.argsort(tokens.to_numpy())
-        ranked = spark.sparkContext.broadcast((tokens.to_numpy()[order], counts[order]))
-    else:
-        ranked = spark.sparkContext.broadcast((tokens.to_pylist(), counts.tolist()))
-    heads = held.mapInArrow(_heads(n, threshold, ranked), f"bucket string, tid long, size int, place int, token {kind}, old boolean")
-    heads = cut(heads, "heads")
-    x, y = heads.alias("x"), heads.alias("y")
-    size = (F.col("x.size") >= F.col("y.size") * (threshold - 1e-9)) & (F.col("y.size") >= F.col("x.size") * (threshold - 1e-9))
-    needed = F.ceil((F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-6)
-    rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.tid") < F.col("y.tid")) & size & (rest >= needed) & ~(F.col("x.old") & F.col("y.old")))
-    pairs = met.select(F.col("x.bucket").alias("bucket"), F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
+    signed = cut(held.mapInArrow(_signed(n, threshold), "bucket string, tid long, old boolean, size int, bits binary"), "bits")
+    pairs = _candidates(signed, threshold)
     left, right = (held.select("bucket", F.col("tid").alias(c), F.col("norm").alias(c + "_text")) for c in ("a", "b"))
     both = pairs.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).select("bucket", "a", "b", "a_text", "b_text")
     return both.mapInArrow(_verified(n, threshold), "bucket string, a long, b long, jaccard double")

@@ -200,3 +200,28 @@ def test_similar_replies_equal_brute_force(spark, tmp_path):
     held = sorted((b, i, grams(t, 3)) for (b, t), i in first.items())
     want = {(b, i, j) for b, i, x in held for c, j, y in held if b == c and i < j and similarity(x, y) >= 0.88}
     assert want and got == want
+
+
+def _templated(rng, count, length):
+    """Texts of one template and few words, some of them nearly equal."""
+    words = ["".join(rng.choice("абвгдежзик") for _ in range(6)) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(length(rng))) for _ in range(count)]
+    return sorted({normal(b) for b in base} | {normal(b + rng.choice([" да", " нет", ""]) + b[: rng.randrange(9)]) for b in base[::3]})
+
+
+def test_large_bucket_meets_by_blocks(spark, monkeypatch):
+    from corpusmill.operators import similarity as S
+
+    # blocks of 40 texts, of any length up to several thousand n-grams
+    monkeypatch.setattr(S, "LARGE", 40)
+    monkeypatch.setattr(S, "WIDEST", 50)
+    rng = random.Random(11)
+    texts = _templated(rng, 200, lambda r: r.choice([4, 12, 12, 12, 40, 300]))
+    rows = [("hot", i, t, i % 4 == 0) for i, t in enumerate(texts)] + [("few", i, t, False) for i, t in enumerate(texts[:9])]
+    sets = [grams(t, 3) for t in texts]
+    df = spark.createDataFrame(rows, "bucket string, tid long, norm string, before boolean")
+    for t in (0.75, 1.0):
+        want = {("hot", i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i % 4 or j % 4) and similarity(sets[i], sets[j]) >= t}
+        few = {("few", i, j) for i in range(9) for j in range(i + 1, 9) if similarity(sets[i], sets[j]) >= t}
+        got = [(r["bucket"], r["a"], r["b"]) for r in S.similar_edges(df, 3, t, F.col("before")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want | few and (want or t == 1.0)
