@@ -225,3 +225,19 @@ def test_large_bucket_meets_by_blocks(spark, monkeypatch):
         few = {("few", i, j) for i in range(9) for j in range(i + 1, 9) if similarity(sets[i], sets[j]) >= t}
         got = [(r["bucket"], r["a"], r["b"]) for r in S.similar_edges(df, 3, t, F.col("before")).collect()]
         assert len(got) == len(set(got)) and set(got) == want | few and (want or t == 1.0)
+
+
+def test_chance_pairs_of_a_template_are_not_verified():
+    import numpy as np
+    from corpusmill.operators import similarity as S
+
+    # all pairs share many n-grams, also rare ones; the texts of a bucket all met before
+    rng = random.Random(12)
+    texts = _templated(rng, 600, lambda r: r.randrange(20, 30))
+    sets = S._sets(texts, 3)
+    held = np.array(S._rows_of_bits(sets, [S._width(len(s), 0.75) for s in sets]), object)
+    block = S._Block(np.arange(len(texts)), np.zeros(len(texts), bool), np.array([len(s) for s in sets]), held)
+    i, j = S._near(block, block, 0.75)
+    met = {frozenset((int(block.tid[a]), int(block.tid[b]))) for a, b in zip(i, j)}
+    want = {frozenset((a, b)) for a in range(len(texts)) for b in range(a) if similarity(grams(texts[a], 3), grams(texts[b], 3)) >= 0.75}
+    assert want and want <= met and len(met) == len(i) <= 2 * len(want)
