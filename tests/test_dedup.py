@@ -241,3 +241,31 @@ def test_chance_pairs_of_a_template_are_not_verified():
     met = {frozenset((int(block.tid[a]), int(block.tid[b]))) for a, b in zip(i, j)}
     want = {frozenset((a, b)) for a in range(len(texts)) for b in range(a) if similarity(grams(texts[a], 3), grams(texts[b], 3)) >= 0.75}
     assert want and want <= met and len(met) == len(i) <= 2 * len(want)
+
+
+def test_only_texts_with_an_equal_part_meet(spark, monkeypatch):
+    import numpy as np
+    from corpusmill.operators import similarity as S
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(500)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 8, 9, 10, 11]))) for _ in range(300)]
+    texts = sorted({normal(b) for b in base} | {normal(b + rng.choice([" да", "а", " не"])) for b in base[::2]})
+    sets = [grams(t, 3) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(sets[i], sets[j]) >= 0.86}
+    # far fewer pairs have an equal key than there are, and none that is similar is lost
+    codes, sizes = S._codes(texts, 3)
+    parts = np.full(len(texts), S._parts(int(sizes.max()), 0.86))
+    mixed = S._mixed(codes)
+    block = S._Block(np.arange(len(texts)), np.zeros(len(texts), np.int64), sizes, np.array(S._bits(mixed, sizes, [64] * len(texts)), object))
+    keys = np.array(S._keys(mixed, sizes, parts), object)[block.order]
+    keys = np.ascontiguousarray(np.frombuffer(b"".join(keys), np.uint32).reshape(len(texts), -1).T)
+    i, j = S._alike(block, keys, 0.86)
+    met = [(min(a, b), max(a, b)) for a, b in zip(block.tid[i].tolist(), block.tid[j].tolist())]
+    assert want and S._telling(keys) and want <= set(met) and len(met) == len(set(met)) < 2 * len(want)
+    # parts that are shared out by key give each pair once
+    monkeypatch.setattr(S, "LARGE", 30)
+    monkeypatch.setattr(S, "WHOLE", 40)
+    df = spark.createDataFrame([("b", i, t, i % 4 == 0) for i, t in enumerate(texts)], "bucket string, tid long, norm string, before boolean")
+    got = [(r["a"], r["b"]) for r in S.similar_edges(df, 3, 0.86, F.col("before")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in want if i % 4 or j % 4}
