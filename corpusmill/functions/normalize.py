@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .normal_text import EDGE_CHARS
 from .text import NOT_WS, WS, WS_CHARS
 
+#: The characters of WS for Java: one look-up up to U+00FF and one comparison for letters above, instead of one for each range.
+_WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS if c < "\u0100") + "[\\x{1680}-\\x{3000}&&[" + "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS if c > "\u0100") + "]]]"
+
 
 def normalize(text: Column, lowercase: bool = True, collapse: bool = True, trim_punctuation: bool = True, replace_yo: bool = True) -> Column:
     """Strip, collapse white space, fold ё, lower the case, cut edge punctuation; in this order, each step optional but the first."""
     text = F.btrim(text, F.lit(WS_CHARS))
     if collapse:
-        text = F.regexp_replace(text, f"{WS}+", " ")
+        text = F.regexp_replace(text, f"{_WS}+", " ")
     if replace_yo:
-        text = F.translate(text, "ёЁ", "еЕ")
+        text = F.replace(F.replace(text, F.lit("ё"), F.lit("е")), F.lit("Ё"), F.lit("Е"))
     if lowercase:
         text = F.lower(text)
     if trim_punctuation:
@@ -29,11 +32,13 @@ def words(text: Column) -> Column:
 
 def prefix_key(normal: Column, count: int) -> Column:
     """The first ``count`` words of a normalized text; a negative count drops words from the end, 0 gives ''."""
-    found = words(normal)
     if count > 0:
-        return F.array_join(F.slice(found, 1, count), " ")
+        # the rest of the text is not cut into words
+        first = F.regexp_extract(normal, f"{NOT_WS}+(?:{WS}+{NOT_WS}+){{0,{count - 1}}}", 0)
+        return F.regexp_replace(first, f"{_WS}+", " ")
     if count == 0:
         return F.when(normal.isNotNull(), "")
+    found = words(normal)
     keep = F.greatest(F.size(found) + count, F.lit(0))
     return F.array_join(F.slice(found, F.lit(1), keep), " ")
 

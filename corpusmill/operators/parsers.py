@@ -69,4 +69,6 @@ def items_by(parser: Column, raw: Column) -> Column:
 def explode_candidates(replies: DataFrame, items_col: str = "items") -> DataFrame:
     """All other columns, candidate_index (1-based) and text; replies without items have no row."""
     rest = [c for c in replies.columns if c != items_col]
-    return replies.select(*rest, F.posexplode(items_col).alias("candidate_index", "text")).withColumn("candidate_index", F.col("candidate_index") + 1)
+    # an inner explode would bring in a filter on the items below it, which evaluates the parser once more for each reply
+    found = replies.select(*rest, F.posexplode_outer(items_col).alias("candidate_index", "text")).where("candidate_index IS NOT NULL")
+    return found.withColumn("candidate_index", F.coalesce("candidate_index", F.lit(0)) + 1)

@@ -50,3 +50,12 @@ def test_replies_of_the_table(spark, data):
             continue
         if isinstance(value, list):
             assert row["x"] == [v.strip() for v in value if isinstance(v, str) and v.strip()]
+
+
+def test_replies_are_parsed_once_for_candidates(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None)], "id long, raw string")
+    rows = P.explode_candidates(df.select("id", P.items("lines", F.col("raw")).alias("items")))
+    assert sorted(map(tuple, rows.collect())) == [(1, 1, "a"), (1, 2, "b")] and not rows.schema["candidate_index"].nullable
+    # a filter on the items below the explode would hold the parser a second time
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
